@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def crc_of_id(doc_id: Column) -> Column:
 def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that one slice holds about `most` bytes of `column`, however long single rows are."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and held + n > most:

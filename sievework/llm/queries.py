@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from sievework.llm.common import table, utf8
 from sievework.llm.decontamination import contamination, find_benchmark
 from sievework.llm.exact_dedup import exact_dedup
+from sievework.llm.language_model import score_documents
+from sievework.llm.ngram_join import ngram_join
 from sievework.llm.packing import pack_documents
+from sievework.llm.quality import score_quality
 from sievework.llm.records import read_records, records_folder, write_records
 from sievework.llm.secrets import find_secrets, written
 from sievework.llm.sharding import shuffle_into_shards
+from sievework.llm.toxicity import score_toxicity
 
 
 def tokenizer_path() -> str:
@@ -20,12 +24,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shuffle_into_shards(table(spark, sf_dir, "documents"), 24)
     text = utf8(F.col("text"))
@@ -35,6 +47,10 @@ def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     return found.select(
@@ -43,6 +59,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -58,7 +78,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op4_hypergeometric_shards, op6_secret_scan, op8_exact_dedup, op9_best_two_fit, op10_token_records)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_deleted_interpolation, op4_hypergeometric_shards, op5_toxicity, op6_secret_scan, op7_quality, op8_exact_dedup, op9_best_two_fit, op10_token_records)}
 
 
 OP8_SQL = """
@@ -67,6 +87,19 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(v, u) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(u) AS component_id FROM r GROUP BY v) c ON c.v = d.doc_id
+"""
+
 _WORDS2 = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 OP2_SQL = f"""
 WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS2} AS w FROM benchmark),
@@ -86,4 +119,4 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_decontaminate": OP2_SQL, "op8_exact_dedup": OP8_SQL}
