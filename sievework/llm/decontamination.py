@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import utf8
+from sievework.llm.common import slices, utf8
 
 #: Bytes of benchmark text that one search holds; more is searched in blocks of this size.
 BLOCK_BYTES = 32 << 20
 #: Words in a block of the shift tables.
 BLOCK_WORDS = 2
 
+FOUND = ("n_words", "hits", "items")
+
 #: ASCII letters and digits and every byte of a non-ASCII character stay, letters in lower case; others separate.
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -79,11 +81,11 @@ class WuManber:
         return merged, items
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, hits (spans of words inside occurrences: array of start, end) and items (ids as sorted strings).
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns of docs, n_words, hits (spans of words inside occurrences: start, end) and items (ids as sorted strings).
 
     The benchmark is a query set: it is read in blocks of at most block_bytes of text, each searched in all documents;
-    with several blocks the spans are joined per document row. Null or empty texts have no words and no hits; items
+    with several blocks the spans are joined per document row. Columns of docs named like a result are replaced. Null or empty texts have no words and no hits; items
     without words never occur; repeated items are one; a null item id is the string "null". Empty tables give empty
     results or rows without hits.
     """
@@ -92,24 +94,25 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_c
     queries = benchmark.select(item.alias("item"), utf8(F.col(item_text)).alias("text")).distinct()
     blocks: list[list[tuple[str, list[bytes]]]] = [[]]
     held, results = 0, []
-    rows = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    id_type = dict(docs.dtypes)[id_col]
+    names = [c for c in docs.columns if c not in FOUND]
+    rows = docs.select(*names)
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
 
     def searched(block: list[tuple[str, list[bytes]]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(WuManber(block, window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, column=text_col):
                 counts, hits, items = [], [], []
-                for text in batch.column(1):
-                    w = words(text.as_py())
-                    spans, names = shared.value.search(w)
+                for text in batch.column(text_col):
+                    w = words((text.as_py() or "").encode())
+                    spans, owners = shared.value.search(w)
                     counts.append(len(w))
                     hits.append([{"start": a, "end": b} for a, b in spans])
-                    items.append(sorted(names))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
+                    items.append(sorted(owners))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], [*names, *FOUND])
 
-        return rows.mapInArrow(run, f"doc_id {id_type}, n_words long, hits array<struct<start:long,end:long>>, items array<string>")
+        return rows.mapInArrow(run, f"{fields}, n_words long, hits array<struct<start:long,end:long>>, items array<string>")
 
     for row in queries.toLocalIterator():
         w = words(bytes(row["text"]))
@@ -124,17 +127,17 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_c
     results.append(searched(blocks[-1]))
     if len(results) == 1:
         return results[0]
-    return _joined(docs, results, id_col, text_col)
+    return _joined(names, results)
 
 
-def _joined(docs: DataFrame, results: list[DataFrame], id_col: str, text_col: str) -> DataFrame:
+def _joined(names: list[str], results: list[DataFrame]) -> DataFrame:
     """One row per document row out of the results of several blocks; equal rows have equal results."""
     every = results[0]
     for more in results[1:]:
         every = every.unionByName(more)
     every = every.withColumn("copies", F.lit(1))
     n = len(results)
-    joined = every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("copies").alias("copies"))
+    joined = every.groupBy(*names, "n_words").agg(F.flatten(F.collect_list("hits")).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("copies").alias("copies"))
     spans = F.array_sort("h")
     merge = F.aggregate(
         spans,
@@ -144,7 +147,7 @@ def _joined(docs: DataFrame, results: list[DataFrame], id_col: str, text_col: st
             F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    return joined.withColumn("hits", F.when(F.size("h") > 0, merge).otherwise(F.col("h"))).withColumn("one", F.explode(F.sequence(F.lit(1), (F.col("copies") / n).cast("int")))).select("doc_id", "n_words", "hits", "items")
+    return joined.withColumn("hits", F.when(F.size("h") > 0, merge).otherwise(F.col("h"))).withColumn("one", F.explode(F.sequence(F.lit(1), (F.col("copies") / n).cast("int")))).select(*names, *FOUND)
 
 
 def contamination(found: DataFrame) -> DataFrame:

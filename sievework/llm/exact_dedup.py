@@ -51,3 +51,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact = apart.groupBy("k", "text").agg(F.count(F.lit(1)).alias("n"), pick("doc_id").alias("keep_id"))
     settled = apart.join(exact, ["k", "text"]).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
     return out.where(F.coalesce("variants", F.lit(1)) == 1).select(*verdict).unionByName(settled.select(*verdict))
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", key=_first_16_of_sha256) -> DataFrame:
+    """The rows of docs that `exact_dedup` keeps, by the same grouping: key, then bytes, combined before the shuffle.
+
+    The keeper's columns travel through the aggregation, so texts are shuffled once and joined with nothing. Rows that
+    repeat id and text become one, the least or greatest of their other columns.
+    """
+    names = docs.columns
+    pick = F.min if keep == "smallest" else F.max
+    others = [c for c in names if c not in (id_col, text_col)]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(text.alias("text"), F.struct(F.col(id_col), F.col(text_col).isNull().alias("none"), *others).alias("row")).withColumn("k", key(F.col("text")))
+    kept = rows.groupBy("k", "text").agg(pick("row").alias("row"))
+    value = {c: F.col(f"row.`{c}`") for c in names if c != text_col} | {text_col: F.when(~F.col("row.none"), F.col("text"))}
+    return kept.select(*[value[c].alias(c) for c in names])

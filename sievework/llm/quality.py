@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import crc_of_id, store, utf8
+from sievework.llm.common import crc_of_id, slices, utf8
 
 #: Labelled rows that the trees are fitted on at most, taken by a hash of the id. The documented bound.
 MAX_EXAMPLES = 30_000
@@ -53,18 +53,6 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and its FEATURES as an array, of whole texts (null: empty), with the columns `others` as one struct."""
-    id_type = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], ["doc_id", "features"])
-
-    return rows.mapInArrow(run, f"doc_id {id_type}, features array<double>")
-
-
 @dataclass
 class Trees:
     """Complete binary trees flattened into arrays: node i has the children 2i+1 and 2i+2; leaves[t, i] is a value."""
@@ -126,28 +114,50 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, ra
     return Trees(*(np.stack(a) for a in zip(*made, strict=True)), start)
 
 
-def fit_quality(features: DataFrame, labels: DataFrame, learns: Column, label: str = "quality", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES) -> Trees:
-    """Trees from the labelled rows that `learns` admits, at most max_examples by a hash of the id; null labels are none."""
-    known = labels.where(F.col(label).isin(0, 1) & learns).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label).alias("y"))
-    rows = features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).select("features", "y").collect()
-    return fit_trees(np.array([r[0] for r in rows], np.float64), np.array([r[1] for r in rows], np.float64))
+def fit_quality(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_examples: int = MAX_EXAMPLES) -> Trees:
+    """Trees from the labelled rows that `learns` admits, at most max_examples by a hash of the id; null labels are none.
+
+    Of several labels of one id the largest counts. Statistics are computed for the chosen documents only.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & learns & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)  # at most max_examples rows of two numbers
+    rows = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text")).join(F.broadcast(chosen), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([statistics(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64())), batch.column("y")], ["features", "y"])
+
+    found = sorted((tuple(r[0]), r[1]) for r in rows.mapInArrow(run, "features array<double>, y int").collect())
+    return fit_trees(np.array([r[0] for r in found], np.float64), np.array([r[1] for r in found], np.float64))
+
+
+def with_quality(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
+    """The columns of docs and `__quality`, the probability of label 1 of the whole text (null: empty)."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column=text_col):
+            x = [statistics((t.as_py() or "").encode()) for t in batch.column(text_col)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.predict(np.array(x, np.float64)))], [*names, "__quality"])
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return docs.mapInArrow(run, f"{fields}, `__quality` double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (probability of label 1) and predicted (score >= 0.5) of every whole text.
 
-    Labels of documents whose crc32(id) mod `folds` is `held_out` are never used. Statistics are computed once and
-    stored; the model is a few thousand numbers. Empty and null texts are scored by statistics of 0; a null id has no
-    label; of several labels of one id the largest counts. Repeated rows are scored alike.
+    Labels of documents whose crc32(id) mod `folds` is `held_out` are never used. The model is a few thousand numbers,
+    and one pass computes statistics and scores; nothing is shuffled. Empty and null texts are scored by statistics of
+    0; a null id has no label; repeated rows are scored alike; without labels, or with one label only, every score is
+    the smoothed rate of label 1. An empty table gives an empty result.
     """
-    features = store(document_statistics(docs, id_col, text_col), "statistics")
-    trees = fit_quality(features, labels, crc_of_id(F.col(id_col)) % folds != held_out, id_col=id_col)
-    id_type = dict(docs.dtypes)[id_col]
+    trees = fit_quality(docs, labels, crc_of_id(F.col(id_col)) % folds != held_out, id_col=id_col, text_col=text_col)
+    scored = with_quality(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), trees)
+    return scored.select("doc_id", (crc_of_id(F.col("doc_id")) % folds == held_out).alias("held_out"), F.col("__quality").alias("score"), (F.col("__quality") >= 0.5).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = trees.predict(np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    scored = features.mapInArrow(run, f"doc_id {id_type}, score double, predicted int")
-    return scored.select("doc_id", (crc_of_id(F.col("doc_id")) % folds == held_out).alias("held_out"), "score", "predicted")
+def keep_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is `least` or more, with the columns of docs."""
+    trees = fit_quality(docs, labels, crc_of_id(F.col("doc_id")) % folds != held_out)
+    return with_quality(docs, trees).where(F.col("__quality") >= least).select(*docs.columns)

@@ -29,7 +29,8 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(find_benchmark(docs, table(spark, sf_dir, "benchmark")))
     items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
