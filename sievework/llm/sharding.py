@@ -62,7 +62,7 @@ def communication_matrix(block_sizes: list[int], shards: int, seed: int) -> list
     return matrix
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 24, seed: int = 17, id_col: str = "doc_id", bucket_rows: int = 250_000) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int = 24, seed: int = 17, id_col: str = "doc_id", bucket_rows: int = 50_000) -> DataFrame:
     """The columns of docs with `shard` (0 .. shards-1) and `slot` (gapless from 0 in each shard).
 
     1. Each input partition is a block; its rows are sorted by a keyed hash of the id (the local permutation) and
