@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker remembers; others are hashed again.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 250_000
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line end
 
 
@@ -27,21 +27,23 @@ def hash_words(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(_known.__getitem__, w), np.uint64, len(w))
 
 
+#: Odd multipliers, one for each place in an n-gram.
+PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) ** 3 % (1 << 64) | 1 for i in range(16)], np.uint64)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (murmur's finalizer)."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> np.uint64(33))
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
 def chained(columns: list[np.ndarray]) -> np.ndarray:
-    """One number per row of columns, in which order counts."""
-    out = mixed(columns[0])
-    with np.errstate(over="ignore"):
-        for c in columns[1:]:
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + c)
-    return out
+    """One number per row of columns of hashes, in which order counts."""
+    out = columns[0] * PLACES[0]
+    for c, place in zip(columns[1:], PLACES[1:], strict=False):
+        out = out + c * place
+    return mixed(out)
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

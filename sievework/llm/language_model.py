@@ -13,7 +13,7 @@ from sievework.llm.common import crc_of_id, store, utf8
 from sievework.llm.hashing import END, chained, hash_words
 
 #: Bytes of text in a block, the unit of work; and of text for each part of the n-gram keys.
-BLOCK_BYTES, PART_BYTES = 8 << 20, 12 << 20
+BLOCK_BYTES, PART_BYTES = 3 << 20, 4 << 20
 HELD_OUT, DELETED, TRAINING = 2, 1, 0
 #: The contexts' frequencies are told apart by powers of two up to this one.
 MOST_BUCKETS = 40
@@ -23,18 +23,27 @@ LEAST_WEIGHT = 1e-6
 
 
 def ngrams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, unigram key, bigram key, context key) of each token; the end is a token, and the context of the first.
+    """(document, unigram key, bigram key of each token; first token of each document).
 
-    Unigram keys are odd and bigram keys even.
+    The end is a token, and the context of the first. Unigram keys are odd and bigram keys even.
     """
     one = np.uint64(1)
     tokens = [np.append(hash_words(t), END) for t in texts]
     sizes = np.array([len(t) for t in tokens], np.int64)
     every = np.concatenate(tokens) if tokens else np.empty(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
     before = np.empty_like(every)
     before[1:] = every[:-1]
-    before[np.cumsum(sizes) - sizes] = END
-    return np.repeat(np.arange(len(tokens)), sizes), every | one, chained([before, every]) & ~one, before | one
+    before[first] = END
+    return np.repeat(np.arange(len(tokens)), sizes), every | one, chained([before, every]) & ~one, first
+
+
+def of_context(word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What `word` holds of each token, of its context: the token before, or the end, a document's last token."""
+    out = np.empty_like(word)
+    out[1:] = word[:-1]
+    out[first] = word[-1:]
+    return out
 
 
 def _split(table: pa.Table) -> tuple[list, list, np.ndarray]:
@@ -45,12 +54,11 @@ def _numbers(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
 
 
-def block_counts(texts: list, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted keys of a block, their counts in training texts, in deleted ones)"""
-    doc, uni, bi, _ = ngrams(texts)
+def block_counts(doc: np.ndarray, uni: np.ndarray, bi: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys of a block, the place of each token's unigram and then bigram, counts in training texts, in deleted ones)"""
     keys, place = np.unique(np.concatenate([uni, bi]), return_inverse=True)
     of = np.tile(fold[doc], 2)
-    return keys, *(np.bincount(place, weights=of == f, minlength=len(keys)).astype(np.uint32) for f in (TRAINING, DELETED))
+    return keys, place, *(np.bincount(place[of == f], minlength=len(keys)).astype(np.uint32) for f in (TRAINING, DELETED))
 
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
@@ -123,7 +131,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def count(key, table):
         _, texts, of = _split(table)
-        keys, train, less = block_counts(texts, of)
+        doc, uni, bi, _ = ngrams(texts)
+        keys, _, train, less = block_counts(doc, uni, bi, of)
         ends = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         cut = [(p, a, b) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
         n = len(cut)
@@ -175,9 +184,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def estimate(key, table, given):
         _, texts, _ = _split(table)
-        _, uni, bi, context = ngrams(texts)
+        _, uni, bi, first = ngrams(texts)
         known = met(given)
-        seen, word, pair = (looked_up(k, *known) for k in (context, uni, bi))
+        word, pair = (looked_up(k, *known) for k in (uni, bi))
+        seen = of_context(word, first)
         cell = (bucket_of(seen) * STEPS + grid(pair / np.maximum(seen, 1))) * STEPS + grid(word / max(n_kept, 1))
         cells, n = np.unique(cell, return_counts=True)
         return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(n.astype(np.int64))})
@@ -188,14 +198,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def score(key, table, given):
         ids, texts, of = _split(table)
-        doc, uni, bi, context = ngrams(texts)
-        keys, train, less = block_counts(texts, of)
+        doc, uni, bi, first = ngrams(texts)
+        keys, place, train, less = block_counts(doc, uni, bi, of)
         counts = train.astype(np.int64) + less
         known, total = met(given)
         if len(known):
             counts[np.searchsorted(keys, known)] = total
-        word, pair = (looked_up(k, keys, counts) for k in (uni, bi))
-        seen = looked_up(context, keys, counts)
+        word, pair = counts[place[: len(uni)]], counts[place[len(uni) :]]
+        seen = of_context(word, first)
         w = weights[bucket_of(seen)]
         p = w[:, 0] * pair / np.maximum(seen, 1) + w[:, 1] * word / max(n_tokens, 1) + w[:, 2] * floor
         base = np.log10((word + 0.1) / (n_tokens + 0.1 * (types + 1)))

@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import lookup_join, slices, store, utf8
 from sievework.llm.components import components
-from sievework.llm.hashing import hash_words, mixed, shingles
+from sievework.llm.hashing import hash_words, shingles
 
 #: An n-gram is common if a 512th of all documents have it, and 256 at least; those are 512 times the mean set size at most.
 COMMON_SHARE, COMMON_LEAST, COMMON_IN_SLICE = 512, 256, 4
 #: Bytes of prefix entries in a part; entries of one n-gram that are compared pair by pair; documents in a block.
 PART_BYTES, LIST, BLOCK_DOCS = 8 << 20, 256, 4000
-SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 def required(a, b, num: int, den: int):
@@ -59,9 +58,9 @@ def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def ordered(grams: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
-    """n-grams in the order that all documents share, common ones last; the number of others."""
+    """Sorted n-grams in the order that all documents share, by hash and common ones last; the number of others."""
     last = among(grams, common)
-    return grams[np.lexsort((mixed(grams ^ SALT), last))], int((~last).sum())
+    return (np.concatenate([grams[~last], grams[last]]), int((~last).sum())) if last.any() else (grams, len(grams))
 
 
 def size_class(n: int, num: int, den: int) -> int:
@@ -207,8 +206,9 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
             key = np.concatenate([c[:r] for c, r in zip(chains, rare, strict=True)])
             doc, n = np.repeat(reps, rare), np.repeat(sizes, rare).astype("<i4")
             place = np.concatenate([np.arange(r, dtype="<i4") for r in rare])
-            order = np.argsort(key)
-            cuts = np.searchsorted(key[order] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            part = key & np.uint64((1 << bits) - 1)  # low bits: prefixes are the least hashes
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1, dtype=np.uint64))
             out = [(p, *(x[order[a:z]].tobytes() for x in (key, doc, n, place))) for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < z]
             nodes = [(rep, hash_of(int(g), size_class(int(m), num, den) - less)) for rep, m, r, c in zip(reps.tolist(), sizes, rare, chains, strict=True) for g in c[r:].tolist() for less in (0, 1)]
             if nodes:

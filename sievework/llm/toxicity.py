@@ -18,7 +18,7 @@ MAX_EXAMPLES, MAX_TERMS = 20_000, 4_000
 #: Least log-likelihood ratio of a term and the label, and least number of examples with the term.
 LEAST_RATIO, LEAST_EXAMPLES = 15.0, 4
 PREFIXES = (4, 5, 6)
-NEIGHBOURS, BLOCK = 15, 128
+NEIGHBOURS, BLOCK = 9, 128
 #: Weight of the rate of label 1 among the examples, beside the votes.
 PRIOR_VOTES = 0.5
 #: All words outside the vocabulary are one term, so that every text has a direction.
@@ -41,44 +41,60 @@ def terms(text: bytes | None) -> tuple[int, Counter]:
 
 
 class BlockMaxIndex:
-    """Inverted lists of unit vectors in blocks of BLOCK examples, with each term's largest weight in each block."""
+    """Unit vectors in blocks of BLOCK entries; each term's inverted list holds its largest weight in each block.
 
-    def __init__(self, ids: list, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
-        self.ids, self.labels = ids, labels
-        self.blocks = max(1, -(-len(rows) // BLOCK))
+    Examples with equal vectors are one entry: its ids, the number of examples, and the share of label 1 among them.
+    """
+
+    def __init__(self, entries: list[tuple[list, float]], rows: list[tuple[np.ndarray, np.ndarray]], width: int):
+        self.ids = [ids[:3] for ids, _ in entries]
+        self.count = np.array([len(ids) for ids, _ in entries], np.float64)
+        self.share = np.array([share for _, share in entries], np.float64)
+        self.width, self.blocks = width, max(1, -(-len(rows) // BLOCK))
+        self.term = np.concatenate([t for t, _ in rows]) if rows else np.empty(0, np.int64)
+        self.weight = np.concatenate([w for _, w in rows]) if rows else np.empty(0)
+        self.start = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])]).astype(np.int64)
+        row = np.repeat(np.arange(len(rows)), np.diff(self.start))
         self.bounds = np.zeros((width, self.blocks), np.float32)
-        term = np.concatenate([t for t, _ in rows]) if rows else np.empty(0, np.int64)
-        weight = np.concatenate([w for _, w in rows]) if rows else np.empty(0)
-        row = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]) if rows else np.empty(0, np.int64)
-        order = np.lexsort((row, term))
-        self.row, self.weight = row[order], weight[order]
-        cell = term[order] * self.blocks + self.row // BLOCK
-        self.start = np.searchsorted(cell, np.arange(width * self.blocks + 1))
-        np.maximum.at(self.bounds, (term[order], self.row // BLOCK), np.nextafter(self.weight.astype(np.float32), np.float32(np.inf)))
+        np.maximum.at(self.bounds, (self.term, row // BLOCK), np.nextafter(self.weight.astype(np.float32), np.float32(np.inf)))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the k nearest, nearest first, the smaller row first on ties. Exact: a block is left out
-        only if its bound is below the k-th cosine so far."""
+        """(entries, cosines) of the nearest entries, as many as hold k examples, the first entry first on ties.
+
+        Exact: the rows of a block are left out only if the sum of its terms' largest weights is below the last cosine.
+        """
         bound = weight.astype(np.float32) @ self.bounds[term] + np.float32(1e-5)
-        rows, sims = np.empty(0, np.int64), np.empty(0)
-        for b in np.lexsort((np.arange(self.blocks), -bound)):
-            if len(sims) >= k and bound[b] < sims[k - 1]:
+        query = np.zeros(self.width)
+        query[term] = weight
+        rows, sims, full = np.empty(0, np.int64), np.empty(0), False
+        for b in np.argsort(-bound, kind="stable"):
+            if full and bound[b] < sims[-1]:
                 break
-            size = min(BLOCK, len(self.ids) - b * BLOCK)
-            score = np.zeros(max(0, size))
-            for t, w in zip(term, weight, strict=True):
-                a, z = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                score[self.row[a:z] - b * BLOCK] += w * self.weight[a:z]
-            rows, sims = np.append(rows, np.arange(len(score)) + b * BLOCK), np.append(sims, score)
-            keep = np.lexsort((rows, -sims))[:k]
-            rows, sims = rows[keep], sims[keep]
+            first, last = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
+            if first >= last:
+                continue
+            a, z = self.start[first], self.start[last]
+            score = np.add.reduceat(query[self.term[a:z]] * self.weight[a:z], self.start[first:last] - a)
+            if full and score.max() < sims[-1]:
+                continue
+            rows, sims = np.append(rows, np.arange(first, last)), np.append(sims, score)
+            order = np.lexsort((rows, -sims))
+            so_far = np.cumsum(self.count[rows[order]])
+            keep = order[: int(np.searchsorted(so_far, k)) + 1]
+            rows, sims, full = rows[keep], sims[keep], so_far[-1] >= k
         return rows, sims
 
-    def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
-        """Share of label 1 among the neighbours, weighted by nearness, with the overall rate as a weak prior."""
-        prior = (self.labels.sum() + 0.5) / (len(self.labels) + 1)
-        w = 1 / (1.05 - np.minimum(sims, 1.0))
-        return float((w @ self.labels[rows] + PRIOR_VOTES * prior) / (w.sum() + PRIOR_VOTES))
+    def vote(self, rows: np.ndarray, sims: np.ndarray, k: int = NEIGHBOURS) -> float:
+        """Share of label 1 among the k nearest examples, weighted by nearness, with the overall rate as a weak prior."""
+        prior = (self.count @ self.share + 0.5) / (self.count.sum() + 1)
+        before = np.cumsum(self.count[rows]) - self.count[rows]
+        w = np.minimum(self.count[rows], k - before) / (1.05 - np.minimum(sims, 1.0))
+        return float((w @ self.share[rows] + PRIOR_VOTES * prior) / (w.sum() + PRIOR_VOTES))
+
+
+def direction(vector) -> tuple:
+    """Equal for vectors known to be equal: one term alone is the same direction at any count."""
+    return (REST, 1) if len(vector) == 2 else tuple(vector)
 
 
 def unit(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,25 +166,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     df = {r["term"]: r["count"] for r in vectors.select(F.explode(present).alias("term")).groupBy("term").count().collect()}
     idf = np.array([math.log(1 + total / max(1, df.get(t, 0))) for t in range(len(words) + 1)])
     held = vectors.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "vector").collect()
-    held = sorted({(r["doc_id"], r["y"], tuple(r["vector"])) for r in held}, key=lambda r: (r[2], r[0]))
     at = lambda v: unit(np.array(v[::2], np.int64), np.array(v[1::2], np.float64), idf)
-    index = spark.sparkContext.broadcast(BlockMaxIndex([r[0] for r in held], np.array([r[1] for r in held], np.float64), [at(r[2]) for r in held], len(words) + 1))
+    same: dict[tuple, dict] = {}
+    for doc_id, y, vector in sorted((r["doc_id"], r["y"], tuple(r["vector"])) for r in held):
+        same.setdefault(direction(vector), {})[doc_id] = y
+    ordered = sorted(same.items(), key=lambda x: (x[0][2:], x[0][:2]))  # like beside like, so that blocks differ
+    index = spark.sparkContext.broadcast(BlockMaxIndex([(list(of), sum(of.values()) / len(of)) for _, of in ordered], [at(v) for v, _ in ordered], len(words) + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, tuple] = {}
         for batch in batches:
             out = []
             for v in batch.column(1).to_pylist():
-                key = (REST, 1) if len(v) == 2 else tuple(v)  # one term alone is the same direction at any count
+                key = direction(v)
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
                     near, sims = index.value.nearest(*at(key))
-                    known[key] = (index.value.vote(near, sims) if len(near) else 0.499, [{"id": index.value.ids[i], "label": int(index.value.labels[i]), "cosine": float(s)} for i, s in zip(near[:3], sims[:3], strict=True)])
+                    known[key] = (index.value.vote(near, sims) if len(near) else 0.499, [{"id": index.value.ids[i][0], "label": float(index.value.share[i]), "cosine": float(s)} for i, s in zip(near[:3], sims[:3], strict=True)])
                 out.append(known[key])
             score = np.array([s for s, _ in out], np.float64)
-            kind = pa.list_(pa.struct([("id", batch.schema.field(0).type), ("label", pa.int32()), ("cosine", pa.float64())]))
+            kind = pa.list_(pa.struct([("id", batch.schema.field(0).type), ("label", pa.float64()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([e for _, e in out], kind)], ["doc_id", "score", "predicted", "evidence"])
 
-    scored = vectors.mapInArrow(score, f"doc_id {id_type}, score double, predicted int, evidence array<struct<id:{id_type},label:int,cosine:double>>")
+    scored = vectors.mapInArrow(score, f"doc_id {id_type}, score double, predicted int, evidence array<struct<id:{id_type},label:double,cosine:double>>")
     return scored.select("doc_id", (crc_of_id(F.col("doc_id")) % folds == held_out).alias("held_out"), "score", "predicted", "evidence")
