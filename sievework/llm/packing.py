@@ -165,7 +165,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, *
 
 def sequences(pieces: DataFrame, placement: DataFrame) -> DataFrame:
     """The packed sequences: sequence_id, ids (concatenated, little-endian), and the ends of the documents in them."""
-    both = placement.join(pieces.select("doc_id", "piece", "start", "ids"), ["doc_id", "piece", "start"])
+    own = pieces.select(F.col("doc_id").alias("d"), F.col("piece").alias("p"), "ids")
+    both = placement.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("piece") == F.col("p")))
     parts = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
     return both.groupBy("sequence_id").agg(parts.alias("parts")).select(
         "sequence_id",

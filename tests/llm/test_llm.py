@@ -202,7 +202,7 @@ def test_packing(docs, empty):
             at += length
         assert at <= 512
     assert len(by) <= -(-sum(r["length"] for r in rows) // 512) + 1
-    joined = packing.sequences(pieces.where("doc_id is not null"), placed)
+    joined = packing.sequences(pieces, placed)
     assert all(len(r["ids"]) == 4 * r["ends"][-1] for r in joined.collect())
     assert packing.pack_documents(empty, tokenizer_path())[1].count() == 0
     # 6 + 3 leaves 1; 2 + 2 in place of 3 fills a bin of 10
