@@ -50,8 +50,35 @@ def _split(table: pa.Table) -> tuple[list, list, np.ndarray]:
     return table.column("doc_id").combine_chunks(), [t.as_py() for t in table.column("text")], table.column("fold").to_numpy().astype(np.int64)
 
 
-def _numbers(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
+def planes(numbers: np.ndarray) -> bytes:
+    """The numbers byte by byte, all least bytes first: leading zeros lie together, and compress well on the way."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def unplanes(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as planes of their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
+
+
+def _joined(parts: list, kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def _keys(table: pa.Table) -> list[np.ndarray]:
+    return [unpack_keys(x.as_py()) for x in table.column("keys")]
+
+
+def _counts(table: pa.Table, name: str) -> np.ndarray:
+    return _joined([unplanes(x.as_py(), np.uint32) for x in table.column(name)], np.uint32)
 
 
 def block_counts(doc: np.ndarray, uni: np.ndarray, bi: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,13 +163,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ends = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         cut = [(p, a, b) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
         n = len(cut)
-        return pa.table({"part": pa.array([p for p, _, _ in cut], pa.int32()), "block": pa.array([key[0].as_py()] * n, pa.int32()), "keys": pa.array([keys[a:b].tobytes() for _, a, b in cut], pa.binary()), "train": pa.array([train[a:b].tobytes() for _, a, b in cut], pa.binary()), "less": pa.array([less[a:b].tobytes() for _, a, b in cut], pa.binary())})
+        return pa.table({"part": pa.array([p for p, _, _ in cut], pa.int32()), "block": pa.array([key[0].as_py()] * n, pa.int32()), "keys": pa.array([pack_keys(keys[a:b]) for _, a, b in cut], pa.binary()), "train": pa.array([planes(train[a:b]) for _, a, b in cut], pa.binary()), "less": pa.array([planes(less[a:b]) for _, a, b in cut], pa.binary())})
 
     counted = rows.groupBy("block").applyInArrow(count, "part int, block int, keys binary, train binary, less binary")
 
     def add(key, table):
-        sizes = np.array([len(k.as_py()) // 8 for k in table.column("keys")], np.int64)
-        keys, train, less = (_numbers(table, c, t) for c, t in (("keys", "<u8"), ("train", "<u4"), ("less", "<u4")))
+        own = _keys(table)
+        sizes, keys = [len(k) for k in own], np.concatenate(own)
+        train, less = _counts(table, "train"), _counts(table, "less")
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -161,8 +189,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             part = slice(at, at + n)
             both = np.flatnonzero(shared[part]) + at
             mine = np.flatnonzero(less[part] > 0) + at
-            put(block, 0, keys[both].tobytes(), (total + all_less)[back[both]].tobytes(), 0, 0, 0)
-            put(block, 1, keys[mine].tobytes(), total[back[mine]].tobytes(), 0, 0, 0)
+            put(block, 0, pack_keys(keys[both]), planes((total + all_less)[back[both]]), 0, 0, 0)
+            put(block, 1, pack_keys(keys[mine]), planes(total[back[mine]]), 0, 0, 0)
             at += n
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
@@ -178,7 +206,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return np.where(known[at] == keys, counts[at], 0)
 
     def met(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = _numbers(table, "keys", "<u8"), _numbers(table, "counts", "<i8")
+        keys = _joined(_keys(table), np.uint64)
+        counts = _joined([unplanes(x.as_py(), np.int64) for x in table.column("counts")], np.int64)
         order = np.argsort(keys)
         return keys[order], counts[order]
 
