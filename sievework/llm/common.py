@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs whose frames are gone, before more disk is used."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(text: Column) -> Column:
     """Bytes of a text, null as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import crc_of_id, store, utf8
+from sievework.llm.common import crc_of_id, free_shuffles, store, utf8
 from sievework.llm.hashing import END, chained, hash_words
 
 #: Bytes of text in a block, the unit of work; and of text for each part of the n-gram keys.
@@ -146,6 +146,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a chance of 3 in 100. Null texts are empty: one token, the end. A null id counts as the empty text in the crc32, so
     it is held out. Equal rows score alike. Without training documents every probability is that of the uniform part.
     """
+    spark = docs.sparkSession
     rest = crc_of_id(F.col(id_col)) % folds
     fold = F.when(rest == held_out, HELD_OUT).when(rest == deleted, DELETED).otherwise(TRAINING)
     id_type = dict(docs.dtypes)[id_col]
@@ -196,6 +197,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
 
     totals = store(counted.groupBy("part").applyInArrow(add, "block int, kind int, keys binary, counts binary, n_types long, n_tokens long, n_kept long"), "ngram-totals")
+    del counted
+    free_shuffles(spark)
     types, n_tokens, n_kept = (x or 0 for x in totals.where("kind = -1").agg(F.sum("n_types"), F.sum("n_tokens"), F.sum("n_kept")).first())
     floor = 1 / (types + 1)
 
