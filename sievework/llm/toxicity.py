@@ -16,7 +16,7 @@ from sievework.llm.common import crc_of_id, slices, store, utf8
 #: Labelled examples in the index at most, taken by a hash of the id; terms in the vocabulary at most. Documented bounds.
 MAX_EXAMPLES, MAX_TERMS = 20_000, 4_000
 #: Least log-likelihood ratio of a term and the label, and least number of examples with the term.
-LEAST_RATIO, LEAST_EXAMPLES = 15.0, 4
+LEAST_RATIO, LEAST_EXAMPLES = 30.0, 4
 PREFIXES = (4, 5, 6)
 NEIGHBOURS, BLOCK = 9, 128
 #: Weight of the rate of label 1 among the examples, beside the votes.
