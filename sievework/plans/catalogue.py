@@ -386,6 +386,6 @@ def q_usage_windows(spark, sf_dir):
     return windows.usage_windows(table(spark, sf_dir, "events"))
 
 
-@query("SELECT * FROM (SELECT user_id, event_id, CAST(epoch(lead(ts) OVER w) AS BIGINT) - CAST(epoch(ts) AS BIGINT) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE gap > 86400")
+@query("SELECT * FROM (SELECT user_id, event_id, epoch_us(lead(ts) OVER w) // 1000000 - epoch_us(ts) // 1000000 AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE gap > 86400")
 def q_heartbeat_gaps(spark, sf_dir):
     return windows.silences(table(spark, sf_dir, "events"), 86400)
