@@ -160,6 +160,87 @@ def exact_links(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, ste
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def dealt_by_key(bits: int, key: np.ndarray, *others: np.ndarray) -> Iterator[tuple]:
+    """(part, bytes of the keys, bytes of the other columns) for each part that low bits of the keys name; order is kept."""
+    part = key & np.uint64((1 << bits) - 1)  # low bits: prefixes are the least hashes
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1, dtype=np.uint64))
+    for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < z:
+            yield (p, *(x[order[a:z]].tobytes() for x in (key, *others)))
+
+
+def part_bits(n_bytes: int) -> int:
+    return max(1, math.ceil(n_bytes / PART_BYTES) - 1).bit_length()
+
+
+def read(table: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in table.column(column)), kind).astype(kind[1:])
+
+
+def by_frequency(n: int, rare: int, keys: np.ndarray, df: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, their places) of a set's prefix that other sets have, in the order by frequency.
+
+    keys, df: the set's n-grams that more than one set has, and how many have them. Of its n n-grams `rare` are not
+    common; those that no other set has stand first, and common ones last.
+    """
+    alone = rare - len(keys)
+    held = keys[np.lexsort((keys, df))][: max(0, min(prefix_lengths(n, num, den)[0], rare) - alone)]
+    return held, alone + np.arange(len(held))
+
+
+def rarest_first(texts: DataFrame, n_bits: int, common: np.ndarray, size: int, num: int, den: int) -> DataFrame:
+    """Prefix entries (part, keys, docs, sizes, places) of texts (rep, text) whose order is by true frequency among them.
+
+    Hash order lets documents that share a passage meet by it, and chains of those make large components. Here all
+    n-grams but common ones are counted in parts, and repeated ones go back, with their counts, to the batch of texts
+    that they came from; a set whose prefix holds n-grams of its own only offers none.
+    """
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4 << 20):
+            reps, of = batch.column("rep").to_numpy(), batch.column("text")
+            sets = _sets((t.as_py() for t in of), size)
+            rare = [s[~among(s, common)] for s in sets]
+            runs = [len(s) for s in rare]
+            uid = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), int(r) & (1 << 63) - 1) for s, r in zip(sets, reps, strict=True)], np.uint64)
+            spread = (np.repeat(x, runs) for x in (uid, reps.astype("<i8"), np.array([len(s) for s in sets], "<i4"), np.array(runs, "<i4")))
+            home = int(uid[0].view(np.int64))
+            out = [(home, *row) for row in dealt_by_key(n_bits, np.concatenate(rare), *spread)]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), *[pa.binary()] * 5], strict=True)], ["home", "part", "keys", "uids", "docs", "sizes", "rare"])
+
+    def count(key, table):
+        keys = read(table, "keys", "<u8")
+        ends = np.cumsum([len(x.as_py()) // 8 for x in table.column("keys")])
+        _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
+        df = n[back].astype("<i4")
+        columns = [keys, *(read(table, c, t) for c, t in (("uids", "<u8"), ("docs", "<i8"), ("sizes", "<i4"), ("rare", "<i4"))), df]
+        rows = [np.arange(a, z)[df[a:z] > 1] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+        kept = [(home, *(x[r].tobytes() for x in columns)) for home, r in zip(table.column("home").to_pylist(), rows, strict=True) if len(r)]
+        cols = list(zip(*kept, strict=True)) if kept else [[]] * 7
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(["home", "keys", "uids", "docs", "sizes", "rare", "df"], cols, [pa.int64(), *[pa.binary()] * 6], strict=True)})
+
+    def prefixes(key, table):
+        keys, uids, docs, sizes, rare, df = (read(table, c, t) for c, t in (("keys", "<u8"), ("uids", "<u8"), ("docs", "<i8"), ("sizes", "<i4"), ("rare", "<i4"), ("df", "<i4")))
+        order = np.argsort(uids, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], uids[order][1:] != uids[order][:-1], [True]]))
+        found = []
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            # a text that comes twice under one id comes twice here
+            once = order[a:z][np.unique(keys[order[a:z]], return_index=True)[1]]
+            at = once[0]
+            held, places = by_frequency(int(sizes[at]), int(rare[at]), keys[once], df[once], num, den)
+            found.append((held, np.full(len(held), docs[at], "<i8"), np.full(len(held), sizes[at], "<i4"), places.astype("<i4")))
+        out = list(dealt_by_key(n_bits, *(np.concatenate(x) for x in zip(*found, strict=True))))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(["part", "keys", "docs", "sizes", "places"], cols, [pa.int32(), *[pa.binary()] * 4], strict=True)})
+
+    offered = texts.mapInArrow(offer, "home long, part int, keys binary, uids binary, docs binary, sizes binary, rare binary")
+    counted = offered.groupBy("part").applyInArrow(count, "home long, keys binary, uids binary, docs binary, sizes binary, rare binary, df binary")
+    return counted.groupBy("home").applyInArrow(prefixes, "part int, keys binary, docs binary, sizes binary, places binary")
+
+
 def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles (size of the set of `size`-word n-grams), component_id (least id that links reach).
 
@@ -170,9 +251,11 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
     2. Prefix entries meet by n-gram, packed in parts, and give edges that hold all candidate pairs together
        (`candidate_edges`). Prefixes that run into common n-grams meet at a node for the n-gram and size class, so that
        no task holds a common n-gram's documents.
-    3. Components of these edges are dealt into blocks of about BLOCK_DOCS classes. A larger component is cut into
+    3. Components of more than BLOCK_DOCS classes are joined again by prefixes whose order is by frequency
+       (`rarest_first`), by which passages that documents share outside of copies hardly matter.
+    4. Components of these edges are dealt into blocks of about BLOCK_DOCS classes. One that is still larger is cut into
        blocks, and each pair of its blocks is a unit. Texts are read again, and `exact_links` settles each unit.
-    4. Components of the links name every document, by its signature.
+    5. Components of the links name every document, by its signature.
 
     Sets are held as 64-bit hashes: two n-grams of a pair share one by chance in about 1 of 10^13 pairs. Null ids keep a
     null component_id and link with nothing. Texts without words have no n-grams and link with nothing. Repeated ids are
@@ -197,7 +280,7 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
     sets = described.where("n_shingles > 0 and doc_id is not null")
     classes = store(sets.groupBy("sign").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare")), "classes")
     held = classes.agg(F.sum("rare")).first()[0] or 0
-    bits = max(1, math.ceil(24 * held / PART_BYTES) - 1).bit_length()
+    bits = part_bits(24 * held)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20, "prefix"):
@@ -206,10 +289,7 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
             key = np.concatenate([c[:r] for c, r in zip(chains, rare, strict=True)])
             doc, n = np.repeat(reps, rare), np.repeat(sizes, rare).astype("<i4")
             place = np.concatenate([np.arange(r, dtype="<i4") for r in rare])
-            part = key & np.uint64((1 << bits) - 1)  # low bits: prefixes are the least hashes
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1, dtype=np.uint64))
-            out = [(p, *(x[order[a:z]].tobytes() for x in (key, doc, n, place))) for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < z]
+            out = list(dealt_by_key(bits, key, doc, n, place))
             nodes = [(rep, hash_of(int(g), size_class(int(m), num, den) - less)) for rep, m, r, c in zip(reps.tolist(), sizes, rare, chains, strict=True) for g in c[r:].tolist() for less in (0, 1)]
             if nodes:
                 pairs = np.array(nodes, np.int64)
@@ -220,8 +300,7 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
     packed = classes.select("rep", "n", "rare", "prefix").mapInArrow(entries, "part int, keys binary, docs binary, sizes binary, places binary")
 
     def meet(key, table):
-        read = lambda c, t: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), t).astype(t[1:])
-        edges = candidate_edges(read("keys", "<u8"), read("docs", "<i8"), read("sizes", "<i4").astype(np.int64), read("places", "<i4").astype(np.int64), num, den)
+        edges = candidate_edges(read(table, "keys", "<u8"), read(table, "docs", "<i8"), read(table, "sizes", "<i4").astype(np.int64), read(table, "places", "<i4").astype(np.int64), num, den)
         return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,12 +309,26 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), "<i8")) for x in (a, b)], ["a", "b"])
 
     met = packed.where("part >= 0").groupBy("part").applyInArrow(meet, "a long, b long")
-    if len(common):
-        met = met.unionByName(packed.where("part < 0").select("docs", "keys").mapInArrow(unpack, "a long, b long"))
-    found = components(met)
-    members = store(found.join(classes.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("rep"), "root"), "members")
-    sized = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    plenty = store(sized, "sized")
+    by_common = packed.where("part < 0").select("docs", "keys").mapInArrow(unpack, "a long, b long") if len(common) else None
+    if by_common is not None:
+        met = met.unionByName(by_common)
+    reps = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"))
+
+    def of_documents(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        members = store(found.join(reps, "node").select(F.col("node").alias("rep"), "root", "n"), name)
+        return members, store(members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), name + "-sized")
+
+    members, plenty = of_documents(components(met), "members")
+    again = members.join(F.broadcast(plenty.where(F.col("m") > BLOCK_DOCS).select("root")), "root", "left_semi")  # all members / BLOCK_DOCS rows at most
+    held = again.agg(F.sum("n")).first()[0]
+    if held:
+        texts = rows.join(again.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+        met = rarest_first(texts, part_bits(32 * held), common, size, num, den).groupBy("part").applyInArrow(meet, "a long, b long")
+        if by_common is not None:
+            met = met.unionByName(by_common.join(again.select(F.col("rep").alias("a")), "a", "left_semi"))
+        refined = components(met)
+        rest = members.join(F.broadcast(plenty.where(F.col("m") > BLOCK_DOCS).select("root")), "root", "left_anti").select(F.col("rep").alias("node"), "root")
+        members, plenty = of_documents(refined.unionByName(rest), "refined")
     many = members.count()
     units = max(1, many // BLOCK_DOCS)
     whole = plenty.where(F.col("m") <= BLOCK_DOCS).select("root")

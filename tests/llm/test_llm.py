@@ -58,7 +58,9 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup(empty).count() == drop_duplicates(empty).count() == 0
 
 
-def test_ngram_join(docs, empty):
+@pytest.mark.parametrize("block", [4000, 2])
+def test_ngram_join(docs, empty, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
     sets = {}
     for i, t, *_ in ROWS:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
