@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import lookup_join, slices, store, utf8
+from sievework.llm.common import free_shuffles, lookup_join, slices, store, utf8
 from sievework.llm.components import components
 from sievework.llm.hashing import hash_words, shingles
 
@@ -321,6 +321,7 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
     members, plenty = of_documents(components(met), "members")
     again = members.join(F.broadcast(plenty.where(F.col("m") > BLOCK_DOCS).select("root")), "root", "left_semi")  # all members / BLOCK_DOCS rows at most
     held = again.agg(F.sum("n")).first()[0]
+    free_shuffles(docs.sparkSession)
     if held:
         texts = rows.join(again.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "text")
         met = rarest_first(texts, part_bits(32 * held), common, size, num, den).groupBy("part").applyInArrow(meet, "a long, b long")
@@ -329,6 +330,7 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
         refined = components(met)
         rest = members.join(F.broadcast(plenty.where(F.col("m") > BLOCK_DOCS).select("root")), "root", "left_anti").select(F.col("rep").alias("node"), "root")
         members, plenty = of_documents(refined.unionByName(rest), "refined")
+        free_shuffles(docs.sparkSession)
     many = members.count()
     units = max(1, many // BLOCK_DOCS)
     whole = plenty.where(F.col("m") <= BLOCK_DOCS).select("root")
