@@ -195,49 +195,69 @@ def rarest_first(texts: DataFrame, n_bits: int, common: np.ndarray, size: int, n
     Hash order lets documents that share a passage meet by it, and chains of those make large components. Here all
     n-grams but common ones are counted in parts, and repeated ones go back, with their counts, to the batch of texts
     that they came from; a set whose prefix holds n-grams of its own only offers none.
+
+    A part names n_bits of an n-gram and 32 more bits go to it, with the number of n-grams of each set of the batch; the
+    sets' ids and sizes go with the batch's first part alone. n-grams that agree in those bits count as one, in every
+    set alike and as often as a set has them, which can add candidates and lose none.
     """
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
-            reps, of = batch.column("rep").to_numpy(), batch.column("text")
+            reps, of = batch.column("rep").to_numpy().astype("<i8"), batch.column("text")
             sets = _sets((t.as_py() for t in of), size)
             rare = [s[~among(s, common)] for s in sets]
-            runs = [len(s) for s in rare]
-            uid = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), int(r) & (1 << 63) - 1) for s, r in zip(sets, reps, strict=True)], np.uint64)
-            spread = (np.repeat(x, runs) for x in (uid, reps.astype("<i8"), np.array([len(s) for s in sets], "<i4"), np.array(runs, "<i4")))
-            home = int(uid[0].view(np.int64))
-            out = [(home, *row) for row in dealt_by_key(n_bits, np.concatenate(rare), *spread)]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), *[pa.binary()] * 5], strict=True)], ["home", "part", "keys", "uids", "docs", "sizes", "rare"])
+            runs = np.array([len(s) for s in rare], "<i8")
+            about = np.stack([reps, np.array([len(s) for s in sets], "<i8"), runs]).tobytes()
+            home = xxhash.xxh3_64_intdigest(about + b"".join(xxhash.xxh3_64_digest(s.tobytes()) for s in sets)) - (1 << 63)
+            keys, of = np.concatenate(rare), np.repeat(np.arange(len(sets)), runs)
+            part = (keys & np.uint64((1 << n_bits) - 1)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            keys, of = (keys >> np.uint64(n_bits)).astype("<u4")[order], of[order]
+            cuts = np.searchsorted(part[order], np.arange((1 << n_bits) + 1))
+            out = [(home, p, keys[a:z].tobytes(), np.bincount(of[a:z], minlength=len(sets)).astype("<u4").tobytes()) for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < z]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            told = [about, *[b""] * (len(out) - 1)] if out else []
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, told], [pa.int64(), pa.int32(), *[pa.binary()] * 3], strict=True)], ["home", "part", "keys", "runs", "about"])
 
     def count(key, table):
-        keys = read(table, "keys", "<u8")
-        ends = np.cumsum([len(x.as_py()) // 8 for x in table.column("keys")])
+        keys = read(table, "keys", "<u4")
+        ends = np.cumsum([len(x.as_py()) // 4 for x in table.column("keys")])
         _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
         df = n[back].astype("<i4")
-        columns = [keys, *(read(table, c, t) for c, t in (("uids", "<u8"), ("docs", "<i8"), ("sizes", "<i4"), ("rare", "<i4"))), df]
-        rows = [np.arange(a, z)[df[a:z] > 1] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
-        kept = [(home, *(x[r].tobytes() for x in columns)) for home, r in zip(table.column("home").to_pylist(), rows, strict=True) if len(r)]
-        cols = list(zip(*kept, strict=True)) if kept else [[]] * 7
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(["home", "keys", "uids", "docs", "sizes", "rare", "df"], cols, [pa.int64(), *[pa.binary()] * 6], strict=True)})
+        kept = []
+        for home, runs, about, a, z in zip(table.column("home").to_pylist(), table.column("runs"), table.column("about"), [0, *ends[:-1]], ends, strict=True):
+            again = df[a:z] > 1
+            if again.any() or about.as_py():
+                runs = np.frombuffer(runs.as_py(), "<u4")
+                left = np.bincount(np.repeat(np.arange(len(runs)), runs)[again], minlength=len(runs)).astype("<u4")
+                kept.append((home, key[0].as_py(), keys[a:z][again].tobytes(), left.tobytes(), df[a:z][again].tobytes(), about.as_py()))
+        cols = list(zip(*kept, strict=True)) if kept else [[]] * 6
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(["home", "part", "keys", "runs", "df", "about"], cols, [pa.int64(), pa.int32(), *[pa.binary()] * 4], strict=True)})
 
     def prefixes(key, table):
-        keys, uids, docs, sizes, rare, df = (read(table, c, t) for c, t in (("keys", "<u8"), ("uids", "<u8"), ("docs", "<i8"), ("sizes", "<i4"), ("rare", "<i4"), ("df", "<i4")))
-        order = np.argsort(uids, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], uids[order][1:] != uids[order][:-1], [True]]))
+        # two batches alike, of repeated rows, are one home that says everything twice
+        table = table.take(np.unique(table.column("part").to_numpy(), return_index=True)[1])
+        told = b"".join(table.column("about").to_pylist())
+        reps, sizes, rare = np.frombuffer(told, "<i8").reshape(3, -1)
+        runs = [np.frombuffer(x.as_py(), "<u4") for x in table.column("runs")]
+        low = np.repeat(table.column("part").to_numpy().astype(np.uint64), [int(x.sum()) for x in runs])
+        keys = (read(table, "keys", "<u4").astype(np.uint64) << np.uint64(n_bits)) | low
+        of = np.concatenate([np.repeat(np.arange(len(x)), x) for x in runs])
+        df = read(table, "df", "<i4")
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(len(reps) + 1))
         found = []
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            # a text that comes twice under one id comes twice here
-            once = order[a:z][np.unique(keys[order[a:z]], return_index=True)[1]]
-            at = once[0]
-            held, places = by_frequency(int(sizes[at]), int(rare[at]), keys[once], df[once], num, den)
-            found.append((held, np.full(len(held), docs[at], "<i8"), np.full(len(held), sizes[at], "<i4"), places.astype("<i4")))
-        out = list(dealt_by_key(n_bits, *(np.concatenate(x) for x in zip(*found, strict=True))))
+        for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < z:
+                at = order[a:z]
+                held, places = by_frequency(int(sizes[i]), int(rare[i]), keys[at], df[at], num, den)
+                found.append((held, np.full(len(held), reps[i], "<i8"), np.full(len(held), sizes[i], "<i4"), places.astype("<i4")))
+        out = list(dealt_by_key(n_bits, *(np.concatenate(x) for x in zip(*found, strict=True)))) if found else []
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         return pa.table({c: pa.array(v, t) for c, v, t in zip(["part", "keys", "docs", "sizes", "places"], cols, [pa.int32(), *[pa.binary()] * 4], strict=True)})
 
-    offered = texts.mapInArrow(offer, "home long, part int, keys binary, uids binary, docs binary, sizes binary, rare binary")
-    counted = offered.groupBy("part").applyInArrow(count, "home long, keys binary, uids binary, docs binary, sizes binary, rare binary, df binary")
+    offered = texts.mapInArrow(offer, "home long, part int, keys binary, runs binary, about binary")
+    counted = offered.groupBy("part").applyInArrow(count, "home long, part int, keys binary, runs binary, df binary, about binary")
     return counted.groupBy("home").applyInArrow(prefixes, "part int, keys binary, docs binary, sizes binary, places binary")
 
 
@@ -324,7 +344,7 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
     free_shuffles(docs.sparkSession)
     if held:
         texts = rows.join(again.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "text")
-        met = rarest_first(texts, part_bits(32 * held), common, size, num, den).groupBy("part").applyInArrow(meet, "a long, b long")
+        met = rarest_first(texts, part_bits(8 * held), common, size, num, den).groupBy("part").applyInArrow(meet, "a long, b long")
         if by_common is not None:
             met = met.unionByName(by_common.join(again.select(F.col("rep").alias("a")), "a", "left_semi"))
         refined = components(met)
