@@ -182,43 +182,39 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         back = np.empty(len(keys), np.int64)
         back[order] = group
         shared = np.diff(np.append(first, len(keys)))[back] > 1
-        out: dict[str, list] = {c: [] for c in ("block", "kind", "keys", "counts", "n_types", "n_tokens", "n_kept")}
+        out: dict[str, list] = {c: [] for c in ("block", "kind", "part", "shared", "counts", "n_types", "n_tokens", "n_kept")}
         put = lambda *row: [out[c].append(x) for c, x in zip(out, row, strict=True)]
-        put(-1, -1, b"", b"", *stats)
+        own_part = key[0].as_py()
+        put(-1, -1, own_part, b"", b"", *stats)
         at = 0
         for block, n in zip(table.column("block").to_pylist(), sizes, strict=True):
             part = slice(at, at + n)
             both = np.flatnonzero(shared[part]) + at
+            # a block knows its keys: bits tell which of them follow, and those of its deleted texts follow all
             mine = np.flatnonzero(less[part] > 0) + at
-            put(block, 0, pack_keys(keys[both]), planes((total + all_less)[back[both]]), 0, 0, 0)
-            put(block, 1, pack_keys(keys[mine]), planes(total[back[mine]]), 0, 0, 0)
+            put(block, 0, own_part, np.packbits(shared[part]).tobytes(), planes((total + all_less)[back[both]]), 0, 0, 0)
+            put(block, 1, own_part, b"", planes(total[back[mine]]), 0, 0, 0)
             at += n
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
 
-    totals = store(counted.groupBy("part").applyInArrow(add, "block int, kind int, keys binary, counts binary, n_types long, n_tokens long, n_kept long"), "ngram-totals")
+    totals = store(counted.groupBy("part").applyInArrow(add, "block int, kind int, part int, shared binary, counts binary, n_types long, n_tokens long, n_kept long"), "ngram-totals")
     del counted
     free_shuffles(spark)
     types, n_tokens, n_kept = (x or 0 for x in totals.where("kind = -1").agg(F.sum("n_types"), F.sum("n_tokens"), F.sum("n_kept")).first())
     floor = 1 / (types + 1)
 
-    def looked_up(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        if not len(known):
-            return np.zeros(len(keys), np.int64)
-        at = np.searchsorted(known, keys).clip(0, len(known) - 1)
-        return np.where(known[at] == keys, counts[at], 0)
-
-    def met(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        keys = _joined(_keys(table), np.uint64)
-        counts = _joined([unplanes(x.as_py(), np.int64) for x in table.column("counts")], np.int64)
-        order = np.argsort(keys)
-        return keys[order], counts[order]
+    def totals_of(given: pa.Table) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+        """((part, bits) of a block's parts, totals), in the order of the block's keys."""
+        found = sorted(zip(*(given.column(c).to_pylist() for c in ("part", "shared", "counts")), strict=True))
+        return [x[:2] for x in found], _joined([unplanes(c, np.int64) for _, _, c in found], np.int64)
 
     def estimate(key, table, given):
         _, texts, _ = _split(table)
         _, uni, bi, first = ngrams(texts)
-        known = met(given)
-        word, pair = (looked_up(k, *known) for k in (uni, bi))
+        _, place = np.unique(np.concatenate([uni, bi]), return_inverse=True)
+        _, total = totals_of(given)
+        word, pair = total[place[: len(uni)]], total[place[len(uni) :]]
         seen = of_context(word, first)
         cell = (bucket_of(seen) * STEPS + grid(pair / np.maximum(seen, 1))) * STEPS + grid(word / max(n_kept, 1))
         cells, n = np.unique(cell, return_counts=True)
@@ -233,9 +229,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         doc, uni, bi, first = ngrams(texts)
         keys, place, train, less = block_counts(doc, uni, bi, of)
         counts = train.astype(np.int64) + less
-        known, total = met(given)
-        if len(known):
-            counts[np.searchsorted(keys, known)] = total
+        told, total = totals_of(given)
+        held = np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        shared = _joined([np.unpackbits(np.frombuffer(b, np.uint8), count=held[p]) for p, b in told], np.uint8).astype(bool)
+        if len(shared):
+            counts[shared] = total
         word, pair = counts[place[: len(uni)]], counts[place[len(uni) :]]
         seen = of_context(word, first)
         w = weights[bucket_of(seen)]
