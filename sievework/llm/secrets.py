@@ -13,9 +13,9 @@ BASE_KINDS = ("assign", "access", "hex")
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 
 # Weak parts of multipart credentials: reported only beside a complementary part in the same scope.
-WEAK_SECRET = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])"
-WEAK_ID = r"(?i)(?<![A-Za-z0-9_])(?:client_id|access_key_id|account_id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,64}"
-ENDPOINT = r"(?i)\b(?:https?|ftp|ssh|amqp|redis|mongodb|postgres(?:ql)?|mysql|jdbc:[a-z]+)://[^\s\"'<>]{4,256}"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-])"
+WEAK_ID = r"(?i)(?<![A-Za-z0-9_])(?:client_id|access_key_id|account_id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}"
+ENDPOINT = r"(?i)\b(?:https?|ftp|ssh|amqp|redis|mongodb|postgres(?:ql)?|mysql|jdbc:[a-z]+)://[^\s\"'<>]{4,}"
 #: A scope: spans whose distance is at most this many characters and that no blank line parts.
 SCOPE = 400
 MARK, SPARE = "\x01", "\x02"
@@ -42,10 +42,12 @@ def spans_of(text: Column, pattern: str, kind: int, name: str) -> Column:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """doc_id with `base` and `linked`, arrays of spans (start, kind, name, end, body) in order.
 
-    base: assignments, access identifiers and long hex runs. linked: weak candidates (a mixed 32 to 88 character word, an
+    base: assignments, access identifiers and long hex runs. linked: weak candidates (a mixed word of 32 or more characters, an
     account assignment, an endpoint with a scheme) that stand with complementary parts in one scope: an identifier
     (access identifier or account) links with a secret (assignment, hex run or mixed word), and an endpoint is reported
     where both are there. Scopes are intervals in one text, joined as arrays of that row: nothing is shuffled.
+    Accounts are sought in every text; mixed words where an identifier stands, endpoints where an identifier and a secret
+    stand, as nothing else links them.
 
     Null texts are empty; rows without matches have empty arrays; ids may be null or repeat.
     """
@@ -54,14 +56,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     assign = F.filter(spans_of(F.col("text"), ASSIGN, 0, "assign"), lambda s: F.length(F.regexp_extract(s["body"], ASSIGN, 2)) >= LEAST_VALUE)
     access = F.when(F.contains("text", F.lit("AKIA")), F.filter(spans_of(F.col("text"), ACCESS, 1, "access"), lambda s: s["end"] - s["start"] >= LEAST_ACCESS)).otherwise(F.expr(f"cast(array() as {_SPAN})"))
     found = rows.withColumn("assign", assign).withColumn("access", access).withColumn("hex", spans_of(F.col("text"), HEX, 2, "hex"))
-    strong = (F.size("assign") > 0) | (F.size("access") > 0) | (F.size("hex") > 0)
+    some = lambda *kinds: F.greatest(*[F.size(k) for k in kinds], F.lit(0)) > 0
+    identified, secret = some("access", "account"), some("assign", "hex", "mixed")
     nothing = F.expr(f"cast(array() as {_SPAN})")
-    weak = lambda pattern, kind, name: F.when(strong, spans_of(F.col("text"), pattern, kind, name)).otherwise(nothing)
+    weak = lambda gate, pattern, kind, name: F.when(gate, spans_of(F.col("text"), pattern, kind, name)).otherwise(nothing)
     found = (
         found.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-        .withColumn("mixed", weak(WEAK_SECRET, 3, "secret"))
-        .withColumn("account", weak(WEAK_ID, 4, "account"))
-        .withColumn("endpoint", weak(ENDPOINT, 5, "endpoint"))
+        .withColumn("account", spans_of(F.col("text"), WEAK_ID, 4, "account"))
+        .withColumn("mixed", weak(identified, WEAK_SECRET, 3, "secret"))
+        .withColumn("endpoint", weak(identified & secret, ENDPOINT, 5, "endpoint"))
     )
     gap = lambda a, b: F.greatest(a["start"], b["start"]) - F.least(a["end"], b["end"])
     between = lambda a, b: F.substring(F.col("text"), F.least(a["end"], b["end"]) + 1, F.greatest(gap(a, b), F.lit(0)))
@@ -76,7 +79,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.filter("account", lambda s: beside(s, F.concat("assign", "hex")) | beside(s, F.filter("mixed", lambda m: beside(m, F.col("access"))))),
         F.filter("endpoint", lambda s: beside(s, identifiers) & beside(s, secrets)),
     )
-    return found.withColumn("linked", F.when(strong, F.array_sort(linked)).otherwise(nothing)).select("doc_id", "base", "linked", F.size("assign").alias("n_assign"), F.size("access").alias("n_access"), F.size("hex").alias("n_hex"))
+    return found.withColumn("linked", F.array_sort(linked)).select("doc_id", "base", "linked", F.size("assign").alias("n_assign"), F.size("access").alias("n_access"), F.size("hex").alias("n_hex"))
 
 
 def written(spans: Column) -> Column:

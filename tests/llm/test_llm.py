@@ -163,6 +163,21 @@ def test_secrets(spark, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_secrets_of_weak_parts_only(spark):
+    key = "wJalrXUtnFEMI7MDENGbPxRfiCYzEXAMPLEKEYab"
+    texts = [
+        f"client_id: acme-svc {key} https://db.example/x", f"client_id: acme-svc {key}", f"client_id: acme-svc {key * 3}", f"client_id: {'u' * 90} {key} https://db.example/{'p' * 300}",
+        f"{key} https://db.example/x", "client_id: acme-svc https://db.example/x", f"client_id: acme-svc\n\n{key}", f"client_id: acme-svc {'- ' * 300}{key}",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs).select("doc_id", "base", "linked").collect()}
+    bodies = {i: {s["name"]: s["body"] for s in r["linked"]} for i, r in got.items()}
+    assert not any(r["base"] for r in got.values())
+    assert bodies[0] == {"secret": key, "endpoint": "https://db.example/x"} and bodies[1] == {"secret": key}
+    assert bodies[2] == {"secret": key * 3} and bodies[3]["endpoint"] == f"https://db.example/{'p' * 300}"
+    assert not any(bodies[i] for i in (4, 5, 6, 7))
+
+
 def test_tokens_and_records(spark, docs, empty):
     enc = ChunkEncoder(tokenizer_path())
     whole = lambda t: enc.whole.encode(t or "", add_special_tokens=False).ids + [1]
