@@ -1,10 +1,12 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with block-max inverted indexes."""
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine over all terms of the examples."""
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +15,18 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import crc_of_id, slices, store, utf8
 
-#: Labelled examples in the index at most, taken by a hash of the id; terms in the vocabulary at most. Documented bounds.
-MAX_EXAMPLES, MAX_TERMS = 20_000, 4_000
-#: Least log-likelihood ratio of a term and the label, and least number of examples with the term.
-LEAST_RATIO, LEAST_EXAMPLES = 30.0, 4
+#: Labelled examples in the index at most, taken by a hash of the id. A documented bound.
+MAX_EXAMPLES = 20_000
 PREFIXES = (4, 5, 6)
 NEIGHBOURS, BLOCK = 9, 128
 #: Weight of the rate of label 1 among the examples, beside the votes.
 PRIOR_VOTES = 0.5
-#: All words outside the vocabulary are one term, so that every text has a direction.
+#: All words that no example has are one term, so that every text has a direction.
 REST = 0
+#: Terms in more than a DENSE-th of the entries are columns of a matrix, MOST_DENSE at most; the others are inverted lists.
+DENSE, MOST_DENSE = 16, 768
+#: Texts scored at once; room for rounding of 32-bit sums.
+TOGETHER, SLACK = 64, 1e-5
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -40,8 +44,27 @@ def terms(text: bytes | None) -> tuple[int, Counter]:
     return sum(seen.values()), counts
 
 
+def pack(number: np.ndarray, count: np.ndarray) -> bytes:
+    """Ascending term numbers and their counts, as byte planes of the numbers' differences and of the counts."""
+    out = []
+    for x in (np.diff(number, prepend=0), count):
+        planes = x.astype("<u4").view(np.uint8).reshape(-1, 4).T
+        out.append(planes[: (int(x.max(initial=0)).bit_length() + 7) // 8 or 1])
+    return bytes([len(out[0]), len(out[1])]) + out[0].tobytes() + out[1].tobytes()
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    first, n = packed[0], (len(packed) - 2) // (packed[0] + packed[1])
+    planes, out = np.frombuffer(packed, np.uint8, offset=2).reshape(-1, n), []
+    for some in (planes[:first], planes[first:]):
+        wide = np.zeros((n, 4), np.uint8)
+        wide[:, : len(some)] = some.T
+        out.append(wide.view("<u4").ravel().astype(np.int64))
+    return np.cumsum(out[0]), out[1]
+
+
 class BlockMaxIndex:
-    """Unit vectors in blocks of BLOCK entries; each term's inverted list holds its largest weight in each block.
+    """Unit vectors of entries. Every entry is scored; the largest scores of blocks of BLOCK entries bound the last cosine.
 
     Examples with equal vectors are one entry: its ids, the number of examples, and the share of label 1 among them.
     """
@@ -50,39 +73,69 @@ class BlockMaxIndex:
         self.ids = [ids[:3] for ids, _ in entries]
         self.count = np.array([len(ids) for ids, _ in entries], np.float64)
         self.share = np.array([share for _, share in entries], np.float64)
-        self.width, self.blocks = width, max(1, -(-len(rows) // BLOCK))
-        self.term = np.concatenate([t for t, _ in rows]) if rows else np.empty(0, np.int64)
-        self.weight = np.concatenate([w for _, w in rows]) if rows else np.empty(0)
+        self.width = width
+        self.term = np.concatenate([t.astype(np.int32, copy=False) for t, _ in rows]) if rows else np.empty(0, np.int32)
+        self.weight = np.concatenate([w.astype(np.float32, copy=False) for _, w in rows]) if rows else np.empty(0, np.float32)
         self.start = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])]).astype(np.int64)
-        row = np.repeat(np.arange(len(rows)), np.diff(self.start))
-        self.bounds = np.zeros((width, self.blocks), np.float32)
-        np.maximum.at(self.bounds, (self.term, row // BLOCK), np.nextafter(self.weight.astype(np.float32), np.float32(np.inf)))
+        self.column = None
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, cosines) of the nearest entries, as many as hold k examples, the first entry first on ties.
+    def _arrange(self) -> None:
+        """The matrix and the inverted lists, made once where the index is used: neither is sent."""
+        n = len(self.ids)
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start))
+        has = np.bincount(self.term, minlength=self.width)
+        often = np.argsort(-has, kind="stable")[:MOST_DENSE]
+        often = often[has[often] * DENSE > n]
+        self.column = np.full(self.width, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        at = self.column[self.term]
+        self.matrix = np.zeros((n, len(often)), np.float32)
+        self.matrix[row[at >= 0], at[at >= 0]] = self.weight[at >= 0]
+        rest = np.flatnonzero(at < 0).astype(np.int32)
+        rest = rest[np.argsort(self.term[rest], kind="stable")]
+        self.row, self.part = row[rest], self.weight[rest]
+        self.list = np.concatenate([[0], np.cumsum(np.where(self.column < 0, has, 0))])
+        self.query = np.zeros(self.width)
+
+    @staticmethod
+    def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
-        Exact: the rows of a block are left out only if the sum of its terms' largest weights is below the last cosine.
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector (entries, cosines) of the nearest entries, as many as hold k examples, the first entry first on ties.
+
+        Exact: all terms of all entries count. Sums in 32 bits choose the entries that can be nearest, 64 bits order them.
         """
-        bound = weight.astype(np.float32) @ self.bounds[term] + np.float32(1e-5)
-        query = np.zeros(self.width)
-        query[term] = weight
-        rows, sims, full = np.empty(0, np.int64), np.empty(0), False
-        for b in np.argsort(-bound, kind="stable"):
-            if full and bound[b] < sims[-1]:
-                break
-            first, last = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
-            if first >= last:
-                continue
-            a, z = self.start[first], self.start[last]
-            score = np.add.reduceat(query[self.term[a:z]] * self.weight[a:z], self.start[first:last] - a)
-            if full and score.max() < sims[-1]:
-                continue
-            rows, sims = np.append(rows, np.arange(first, last)), np.append(sims, score)
+        if not self.ids:
+            return [(np.empty(0, np.int64), np.empty(0))] * len(vectors)
+        if self.column is None:
+            self._arrange()
+        often = np.zeros((len(vectors), self.matrix.shape[1]), np.float32)
+        for i, (term, weight) in enumerate(vectors):
+            at = self.column[term]
+            often[i, at[at >= 0]] = weight[at >= 0]
+        every, out = often @ self.matrix.T, []
+        for (term, weight), sums in zip(vectors, every, strict=True):
+            rare = self.column[term] < 0
+            size = self.list[term[rare] + 1] - self.list[term[rare]]
+            at = self._ranges(self.list[term[rare]], size)
+            score = sums + np.bincount(self.row[at], np.repeat(weight[rare].astype(np.float32), size) * self.part[at], len(sums))
+            largest = np.maximum.reduceat(score, np.arange(0, len(score), BLOCK))
+            bounds = largest if len(largest) >= k else score
+            last = np.partition(bounds, -k)[-k] if len(bounds) > k else -np.inf
+            rows = np.flatnonzero(score >= last - SLACK)
+            size = self.start[rows + 1] - self.start[rows]
+            at = self._ranges(self.start[rows], size)
+            self.query[term] = weight
+            sims = np.add.reduceat(self.query[self.term[at]] * self.weight[at], np.cumsum(size) - size)
+            self.query[term] = 0
             order = np.lexsort((rows, -sims))
-            so_far = np.cumsum(self.count[rows[order]])
-            keep = order[: int(np.searchsorted(so_far, k)) + 1]
-            rows, sims, full = rows[keep], sims[keep], so_far[-1] >= k
-        return rows, sims
+            order = order[: int(np.searchsorted(np.cumsum(self.count[rows[order]]), k)) + 1]
+            out.append((rows[order], sims[order]))
+        return out
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of([(term, weight)], k)[0]
 
     def vote(self, rows: np.ndarray, sims: np.ndarray, k: int = NEIGHBOURS) -> float:
         """Share of label 1 among the k nearest examples, weighted by nearness, with the overall rate as a weak prior."""
@@ -92,50 +145,55 @@ class BlockMaxIndex:
         return float((w @ self.share[rows] + PRIOR_VOTES * prior) / (w.sum() + PRIOR_VOTES))
 
 
-def direction(vector) -> tuple:
-    """Equal for vectors known to be equal: one term alone is the same direction at any count."""
-    return (REST, 1) if len(vector) == 2 else tuple(vector)
-
-
 def unit(term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     weight = (1 + np.log(count)) * idf[term]
     return term, weight / max(1e-12, math.sqrt(float(weight @ weight)))
 
 
-def vocabulary(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms that go with the label: highest log-likelihood ratio of presence first, ties by term. examples: y, text."""
+class Packed:
+    """What workers get: entries, their packed vectors and the idf. Each worker makes its index once; it is not sent."""
+
+    def __init__(self, entries: list[tuple[list, float]], vectors: list[bytes], idf: np.ndarray):
+        self.entries, self.sizes, self.idf, self.made = entries, [len(v) for v in vectors], idf, None
+        self.vectors = zlib.compress(b"".join(vectors), 1)
+
+    def at(self, vector: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return unit(*unpack(vector), self.idf)
+
+    def index(self) -> BlockMaxIndex:
+        if self.made is None:
+            every, first, rows = zlib.decompress(self.vectors), 0, []
+            for size in self.sizes:
+                term, weight = self.at(every[first : first + size])
+                rows.append((term.astype(np.int32), weight.astype(np.float32)))
+                first += size
+            self.made = BlockMaxIndex(self.entries, rows, len(self.idf))
+        return self.made
+
+
+def vocabulary(examples: DataFrame) -> list[str]:
+    """All terms of the examples, those of most examples first, ties by term. examples: text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {}
+        held: Counter = Counter()
         for batch in slices(batches):
-            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for t in terms(text)[1]:
-                    held.setdefault(t, [0, 0])[y] += 1
+            for text in batch.column("text").to_pylist():
+                held.update(terms(text)[1].keys())
             if len(held) > 300_000:
-                yield pa.RecordBatch.from_pydict({"term": list(held), "a": [v[1] for v in held.values()], "b": [v[0] for v in held.values()]})
-                held = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v[1] for v in held.values()], pa.int64()), pa.array([v[0] for v in held.values()], pa.int64())], ["term", "a", "b"])
-
-    n = {r["y"]: r["count"] for r in examples.groupBy("y").count().collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
-    if not pos or not neg:
-        return []
-    counts = examples.mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    both, rest = F.col("a") + F.col("b"), F.lit(pos + neg) - F.col("a") - F.col("b")
-    cell = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    all_of = float(pos + neg)
-    ratio = 2 * (cell(F.col("a"), both * (pos / all_of)) + cell(F.col("b"), both * (neg / all_of)) + cell(pos - F.col("a"), rest * (pos / all_of)) + cell(neg - F.col("b"), rest * (neg / all_of)))
-    best = counts.where(both >= LEAST_EXAMPLES).withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (F.col("a") * neg > F.col("b") * pos))
-    return [r["term"] for r in best.orderBy(F.desc("ratio"), "term").limit(max_terms).collect()]
+                yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())})
+                held = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
+
+    counts = examples.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return counts.toArrow().sort_by([("n", "descending"), ("term", "ascending")]).column("term").to_pylist()
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.5) and evidence (ids and cosines of the nearest examples).
 
     Labels of documents whose crc32(id) mod `folds` is `held_out` are never used. The index holds at most max_examples
-    labelled documents. Its vocabulary are words and word beginnings that go with label 1 among them, plus one term for
-    all other words. Document frequencies are counted over all documents. Every whole text is compared with the index
-    exactly; equal vectors are looked up once a task.
+    labelled documents. Its vocabulary are all words and word beginnings among them, plus one term for all other words.
+    Document frequencies are counted over all documents. Every whole text is compared with every example exactly.
 
     Null and empty texts have the vector of the other words alone. Null labels are none; of several labels of one id the
     largest counts. Without examples the score is 0.5 less a little, and 0 is predicted; an empty table stays empty.
@@ -147,44 +205,63 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)  # at most max_examples rows of two numbers
     examples = store(rows.join(F.broadcast(chosen), "doc_id"), "examples")
     words = vocabulary(examples)
-    number = spark.sparkContext.broadcast({t: i + 1 for i, t in enumerate(words)})
+    number = spark.sparkContext.broadcast(({t: i + 1 for i, t in enumerate(words)}, np.array([False, *(not t.endswith("*") for t in words)])))
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known, word = number.value
+        for batch in slices(batches):
             found = []
             for text in batch.column(1):
                 total, counts = terms(text.as_py())
-                mine = sorted((number.value[t], n) for t, n in counts.items() if t in number.value)
-                whole = sum(n for t, n in counts.items() if t in number.value and not t.endswith("*"))
-                found.append([REST, max(1, total - whole), *(x for pair in mine for x in pair)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "vector"])
+                at = np.fromiter(map(known.get, counts, repeat(REST)), np.int64, len(counts))
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                order = np.argsort(at)
+                order = order[np.searchsorted(at[order], 1) :]
+                at, n = at[order], n[order]
+                other = total - int(n[word[at]].sum())
+                if other or not len(at):
+                    at, n = np.append(REST, at), np.append(max(1, other), n)
+                found.append(pack(at, n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "vector"])
+
+    width = len(words) + 1
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(width, np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                seen[unpack(v.as_py())[0]] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["term", "n"])
 
-    vectors = store(rows.mapInArrow(run, f"doc_id {id_type}, vector array<int>"), "vectors")
+    vectors = store(rows.mapInArrow(run, f"doc_id {id_type}, vector binary"), "vectors")
     total = vectors.count()
-    present = F.filter(F.transform("vector", lambda x, i: F.when(i % 2 == 0, x)), lambda x: x.isNotNull())
-    df = {r["term"]: r["count"] for r in vectors.select(F.explode(present).alias("term")).groupBy("term").count().collect()}
-    idf = np.array([math.log(1 + total / max(1, df.get(t, 0))) for t in range(len(words) + 1)])
-    held = vectors.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "vector").collect()
-    at = lambda v: unit(np.array(v[::2], np.int64), np.array(v[1::2], np.float64), idf)
-    same: dict[tuple, dict] = {}
-    for doc_id, y, vector in sorted((r["doc_id"], r["y"], tuple(r["vector"])) for r in held):
-        same.setdefault(direction(vector), {})[doc_id] = y
-    ordered = sorted(same.items(), key=lambda x: (x[0][2:], x[0][:2]))  # like beside like, so that blocks differ
-    index = spark.sparkContext.broadcast(BlockMaxIndex([(list(of), sum(of.values()) / len(of)) for _, of in ordered], [at(v) for v, _ in ordered], len(words) + 1))
+    found = vectors.select("vector").mapInArrow(present, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.ones(width)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    idf = np.log(1 + total / df)
+    held = vectors.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "vector").toArrow()
+    same: dict[bytes, dict] = {}
+    for doc_id, y, vector in zip(*(held.column(c).to_pylist() for c in ("doc_id", "y", "vector")), strict=True):
+        same.setdefault(vector, {})[doc_id] = y
+    del held
+    ordered = sorted(((sorted(of), sum(of.values()) / len(of)), v) for v, of in same.items())
+    sent = spark.sparkContext.broadcast(Packed([of for of, _ in ordered], [v for _, v in ordered], idf))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
+        known: dict[bytes, tuple] = {}
+        index = sent.value.index()
         for batch in batches:
             out = []
-            for v in batch.column(1).to_pylist():
-                key = direction(v)
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    near, sims = index.value.nearest(*at(key))
-                    known[key] = (index.value.vote(near, sims) if len(near) else 0.499, [{"id": index.value.ids[i][0], "label": float(index.value.share[i]), "cosine": float(s)} for i, s in zip(near[:3], sims[:3], strict=True)])
-                out.append(known[key])
+            for first in range(0, batch.num_rows, TOGETHER):
+                some = batch.column(1).slice(first, TOGETHER).to_pylist()
+                if len(known) > 5_000:
+                    known.clear()
+                new = [v for v in dict.fromkeys(some) if v not in known]
+                for v, (near, sims) in zip(new, index.nearest_of([sent.value.at(v) for v in new]), strict=True):
+                    known[v] = (index.vote(near, sims) if len(near) else 0.499, [{"id": index.ids[i][0], "label": float(index.share[i]), "cosine": float(s)} for i, s in zip(near[:3], sims[:3], strict=True)])
+                out += [known[v] for v in some]
             score = np.array([s for s, _ in out], np.float64)
             kind = pa.list_(pa.struct([("id", batch.schema.field(0).type), ("label", pa.float64()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([e for _, e in out], kind)], ["doc_id", "score", "predicted", "evidence"])

@@ -264,6 +264,30 @@ def test_classifiers(spark, docs, empty):
     assert fit_trees(np.zeros((0, 28)), np.zeros(0)).predict(np.zeros((2, 28))).tolist() == [0.5, 0.5]
 
 
+def test_toxicity_weighs_all_terms(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    trees = "alder birch cedar dogwood elder fir ginkgo hazel ivy juniper kapok larch maple".split()
+    texts = [f"{'vile' if i % 2 else 'kind'} {' '.join(rng.choice(trees) for _ in range(12))} common" for i in range(40)] + ["vile unseen", None, "vile vile fir elder"]
+    many = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(many, labels).collect()}
+    bags = [toxicity.terms((t or "").encode()) for t in texts]
+    learns = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    known = {t for i in learns for t in bags[i][1]}
+    rows = []
+    for total, bag in bags:
+        mine = {t: n for t, n in bag.items() if t in known}
+        other = total - sum(n for t, n in mine.items() if not t.endswith("*"))
+        rows.append(mine | ({"": max(1, other)} if other or not mine else {}))
+    df = {t: sum(t in r for r in rows) for r in rows for t in r}
+    weigh = lambda r: {t: (1 + np.log(n)) * np.log(1 + len(rows) / df[t]) for t, n in r.items()}
+    weights = [(w := weigh(r), np.sqrt(sum(x * x for x in w.values()))) for r in rows]
+    cosine = lambda a, b: sum(x * weights[b][0].get(t, 0) for t, x in weights[a][0].items()) / weights[a][1] / weights[b][1]
+    for i in range(len(texts)):
+        want = sorted((cosine(i, j) for j in learns), reverse=True)[:3]
+        assert np.allclose([e["cosine"] for e in got[i]["evidence"]], want, atol=1e-6), i
+    assert len({round(got[i]["score"], 9) for i in range(40)}) > 30
+
+
 def test_nearest_is_exact():
     r = np.random.default_rng(1)
     rows = []
