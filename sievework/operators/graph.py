@@ -1,4 +1,4 @@
-"""Graph operators: bounded breadth-first flows, closure, cycles."""
+"""Graph operators: bounded breadth-first flows, closure."""
 
 from __future__ import annotations
 
