@@ -1,4 +1,4 @@
-"""Usage rollups and silence detection; each runs on batches and, with a watermark, on streams."""
+"""Usage rollups and silence detection on batches; usage_windows also runs on streams, with a watermark."""
 
 from __future__ import annotations
 
