@@ -2,50 +2,84 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a few numbers that a join may broadcast: counted before, 32 MB at the most. Beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset a local master gets a temporary folder (tests); on a cluster that would lose data, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
         found = f"file://{tempfile.mkdtemp(prefix='sievework-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/sievework/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, system = _folder(spark, path)
+    system.deleteOnExit(where)
     return path
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return Scratch(df.sparkSession).store(df, name)
+
+
+class Scratch:
+    """Tables that an operator stores on its way; `close` removes all that no later step reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path, schema = scratch_path(self.spark, name), df.schema
+        df.write.parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if found := self.paths.pop(id(t), None):
+                where, system = _folder(self.spark, found[0])
+                system.delete(where, True)
+
+    def close(self, *keep: DataFrame) -> None:
+        kept = {id(t) for t in keep}
+        self.drop(*[t for k, (_, t) in list(self.paths.items()) if k not in kept])
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs whose frames are gone, before more disk is used."""
+    import gc
+
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -60,13 +94,13 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that one slice holds about `most` bytes of `column`, however long single rows are."""
+def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, column: str = "text", rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that one slice holds about `most` bytes of `column`, however long single rows are, and `rows` rows at most."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
-            if i > start and held + n > most:
+            if i > start and (held + n > most or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
@@ -74,6 +108,39 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, column: str =
             yield batch.slice(start)
 
 
+_CODEC = pa.Codec("zstd", 1)
+
+
+def squeeze(numbers: np.ndarray, sorted_: bool = False) -> bytes:
+    """Numbers as byte planes, those of their differences where they ascend, compressed: leading zeros cost next to nothing."""
+    if not len(numbers):
+        return b""
+    if sorted_:
+        numbers = np.diff(numbers, prepend=numbers.dtype.type(0))
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)
+    return len(numbers).to_bytes(8, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def unsqueeze(data: bytes, kind, sorted_: bool = False) -> np.ndarray:
+    """The inverse of `squeeze`; kind: the numbers' type."""
+    kind = np.dtype(kind)
+    if not data:
+        return np.empty(0, kind)
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(_CODEC.decompress(data[8:], n * kind.itemsize, asbytes=True), np.uint8).reshape(kind.itemsize, n)
+    out = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(out, dtype=kind) if sorted_ else out
+
+
+def joined(parts: list, kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for a broadcast if its counted rows allow it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, most: int = 1024) -> DataFrame:
     """Left join of many rows to one row per binary key, with no task that gets a hot key.
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import language_model, ngram_join, packing, records, secrets, sharding, toxicity
+from sievework.llm import language_model, packing, records, secrets, sharding, toxicity
 from sievework.llm.decontamination import contamination, find_benchmark
 from sievework.llm.exact_dedup import drop_duplicates, exact_dedup
 from sievework.llm.queries import tokenizer_path
@@ -58,60 +58,6 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup(empty).count() == drop_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [4000, 2])
-def test_ngram_join(docs, empty, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
-    sets = {}
-    for i, t, *_ in ROWS:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-        sets[i] = {tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} if w else set()
-    root = {i: i for i in sets if i is not None}
-
-    def find(i):
-        return i if root[i] == i else find(root[i])
-
-    for a in root:
-        for b in root:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs).collect()}
-    assert got == {i: (len(s), None if i is None else find(i)) for i, s in sets.items()}
-    assert ngram_join.ngram_join(empty).count() == 0
-
-
-def test_exact_links_and_candidates_lose_nothing():
-    r = np.random.default_rng(3)
-    base = np.unique(r.integers(0, 1 << 62, 60).astype(np.uint64))
-    sets = []
-    for _ in range(300):
-        keep = r.random(len(base)) > r.choice([0.0, 0.05, 0.3])
-        sets.append(np.unique(np.concatenate([base[keep], r.integers(0, 1 << 62, r.integers(1, 12)).astype(np.uint64)])))
-    sets.append(np.empty(0, np.uint64))
-    ids = np.arange(len(sets))
-    links = {(a, b) for a in ids for b in ids if a < b and len(sets[a]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
-
-    def classes(pairs):
-        root = list(range(len(sets)))
-
-        def find(i):
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for a, b in pairs:
-            root[max(find(a), find(b))] = min(find(a), find(b))
-        return [find(i) for i in range(len(sets))]
-
-    got = ngram_join.exact_links(ids, sets, 85, 100)
-    assert {tuple(sorted(x)) for x in got.tolist()} <= links and classes(got.tolist()) == classes(links)
-    flat = [(g, i, len(s), p) for i, s in enumerate(sets) if len(s) for p, g in enumerate(ngram_join.ordered(s, np.empty(0, np.uint64))[0][: ngram_join.prefix_lengths(len(s), 85, 100)[0]])]
-    key, doc, size, place = (np.array(c) for c in zip(*flat, strict=True))
-    edges = ngram_join.candidate_edges(key.astype(np.uint64), doc, size, place, 85, 100)
-    held = classes(edges.tolist())
-    assert all(held[a] == held[b] for a, b in links)
-
-
 def test_decontamination(spark, docs, empty):
     items = [("1", " ".join(BASE[2].split()[5:30])), ("2", "Two-words"), ("3", ""), ("4", None), ("5", "absent thing"), ("2", "Two-words")]
     bench = spark.createDataFrame(items, "item_id string, text string")
