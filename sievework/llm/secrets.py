@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,74 +14,130 @@ HEX = r"[0-9a-f]{16,}"
 BASE_KINDS = ("assign", "access", "hex")
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 
-# Weak parts of multipart credentials: reported only beside a complementary part in the same scope.
-WEAK_SECRET = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-])"
-WEAK_ID = r"(?i)(?<![A-Za-z0-9_])(?:client_id|access_key_id|account_id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}"
+MARK, SPARE = "\x01", "\x02"
+# Weak parts of multipart credentials: reported only beside a complementary part in the same scope. None of them overlaps a
+# base span: those are blotted out with SPARE before, which no weak part may hold or touch.
+WEAK_SECRET = r"(?<![A-Za-z0-9+/=_.\x02-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_\x02-])"
+WEAK_ID = r"(?i)(?<![A-Za-z0-9_\x02])(?:client_id|access_key_id|account_id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}+(?!\x02)"
 ENDPOINT = r"(?i)\b(?:https?|ftp|ssh|amqp|redis|mongodb|postgres(?:ql)?|mysql|jdbc:[a-z]+)://[^\s\"'<>]{4,}"
-#: A scope: spans whose distance is at most this many characters and that no blank line parts.
+BLANK = r"\n[\x20\t\r]*\n"
+#: A scope: a run of spans in which each starts at most this many characters behind the one before; a blank line ends it.
 SCOPE = 400
-MARK, SPARE = "\x01", "\x02"
 
 _SPAN = "array<struct<start:int,kind:int,name:string,end:int,body:string>>"
+_NONE = f"cast(array() as {_SPAN})"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often a lambda in body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
 
-def spans_of(text: Column, pattern: str, kind: int, name: str) -> Column:
-    """Leftmost non-overlapping matches as structs (start, kind, name, end, body), in code points.
+def starts_of(lengths: Column) -> Column:
+    """Where each of adjoining parts starts, from their lengths. Sums of runs of sqrt(n) parts keep it at n * sqrt(n) steps."""
 
-    Matches are framed by a mark that no text holds (the caller replaces it by another control character, which no
-    pattern matches either) and the text is split there: odd parts are matches, and the lengths before give starts.
+    def of_runs(lengths: Column, run: Column) -> Column:
+        run_sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / run).cast("int")), lambda j: _sum(F.slice(lengths, j * run + 1, run)))
+        heads = lambda sums: F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        inside = lambda i: F.when(i % run > 0, _sum(F.slice(lengths, i - i % run + 1, F.greatest(i % run, F.lit(1))))).otherwise(0)
+        return let(let(run_sums, heads), lambda h: F.transform(F.sequence(F.lit(0), F.size(lengths) - 1), lambda i: F.element_at(h, F.floor(i / run).cast("int") + 1) + inside(i)))
+
+    return let(lengths, lambda x: let(F.ceil(F.sqrt(F.size(x))).cast("int"), lambda run: of_runs(x, run)))
+
+
+def parts_of(text: Column, pattern: str) -> Column:
+    """The text in parts, of which every second one is a match: leftmost, non-overlapping.
+
+    Matches are framed by a mark that no text holds (the caller replaces it by another control character, which no base
+    pattern matches either) and the text is split there.
     """
-    parts = F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK)
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"), F.lit(False).alias("inside"))
-    step = lambda acc, part: F.struct(
-        (acc["at"] + F.length(part)).alias("at"),
-        F.when(acc["inside"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), (acc["at"] + F.length(part)).alias("end"), part.alias("body"))))).otherwise(acc["out"]).alias("out"),
-        (~acc["inside"]).alias("inside"),
-    )
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+    return F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK)
+
+
+def spans_of(text: Column, pattern: str, kind: int, name: str, keeps: Callable[[Column], Column] | None = None) -> Column:
+    """Matches that `keeps` accepts as structs (start, kind, name, end, body), in code points."""
+
+    def spans(parts: Column) -> Column:
+        span = lambda starts, i: let(F.element_at(parts, i), lambda x: F.struct(F.element_at(starts, i).alias("start"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), (F.element_at(starts, i) + F.length(x)).alias("end"), x.alias("body")))
+        every = let(starts_of(F.transform(parts, F.length)), lambda starts: F.transform(F.sequence(F.lit(2), F.size(parts), F.lit(2)), lambda i: span(starts, i)))
+        return F.filter(every, lambda s: keeps(s["body"])) if keeps else every
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(parts_of(text, pattern), spans)).otherwise(F.expr(_NONE))
+
+
+def blotted(text: Column, pattern: str, keeps: Callable[[Column], Column]) -> Column:
+    """The text with SPARE in place of each character of the matches that `keeps` accepts: as long as before."""
+    part = lambda x, i: F.when((i % 2 == 1) & keeps(x), F.repeat(F.lit(SPARE), F.length(x))).otherwise(x)
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.array_join(F.transform(parts_of(text, pattern), part), "")).otherwise(text)
+
+
+def _any(spans: Column, *names: str) -> Column:
+    return F.exists(spans, lambda s: s["name"].isin(*names))
+
+
+def scopes_of(spans: Column, scope: int) -> Column:
+    """Sorted spans, blank lines among them, cut into the runs that are scopes."""
+
+    def cut(ordered: Column) -> Column:
+        before = lambda i: F.element_at(ordered, F.greatest(i, F.lit(1)))
+        begins = lambda i: (i == 0) | (F.element_at(ordered, i + 1)["name"] == "blank") | (F.element_at(ordered, i + 1)["start"] - before(i)["end"] > scope)
+        first = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), begins)
+        upto = lambda first, j: F.coalesce(F.get(first, j + 1), F.size(ordered))
+        return let(first, lambda first: F.transform(first, lambda at, j: F.slice(ordered, at + 1, upto(first, j) - at)))
+
+    return F.when(F.size(spans) > 0, let(F.sort_array(spans), cut)).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """doc_id with `base` and `linked`, arrays of spans (start, kind, name, end, body) in order.
+    """doc_id with `base` and `linked`, arrays of spans (start, kind, name, end, body) in order, and n_assign, n_access, n_hex.
 
-    base: assignments, access identifiers and long hex runs. linked: weak candidates (a mixed word of 32 or more characters, an
-    account assignment, an endpoint with a scheme) that stand with complementary parts in one scope: an identifier
-    (access identifier or account) links with a secret (assignment, hex run or mixed word), and an endpoint is reported
-    where both are there. Scopes are intervals in one text, joined as arrays of that row: nothing is shuffled.
-    Accounts are sought in every text; mixed words where an identifier stands, endpoints where an identifier and a secret
-    stand, as nothing else links them.
+    base: assignments, access identifiers and long hex runs. linked: weak candidates (a mixed word of 32 or more characters,
+    an account assignment, an endpoint with a scheme) that share a scope with complementary parts. A scope is an interval
+    of the text: spans in the order of their starts, each at most `scope` characters behind the end of the one before,
+    and no blank line between. Identifiers (access identifiers, accounts) link with secrets (assignments, hex runs, mixed
+    words) of their scope: weak ones of either side are reported where the other side is there, endpoints where both are.
+    The join of scopes and spans is one sweep over the sorted spans of a row: nothing is shuffled, and a text with
+    thousands of parts takes steps in proportion to them, but for sorting and starts (n * sqrt(n)).
 
-    Null texts are empty; rows without matches have empty arrays; ids may be null or repeat.
+    Accounts and mixed words are sought in every text in which a part of the other side can be; endpoints where both
+    sides are, as nothing else links them. A weak part that overlaps a base span is none. Null texts are empty; rows
+    without matches have empty arrays; ids may be of any type, null or repeat, and equal rows give equal results. Texts
+    may be of any length and are never cut. Ties of start go by kind. Other columns are not read. An empty table gives
+    an empty result.
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), MARK, SPARE)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    assign = F.filter(spans_of(F.col("text"), ASSIGN, 0, "assign"), lambda s: F.length(F.regexp_extract(s["body"], ASSIGN, 2)) >= LEAST_VALUE)
-    access = F.when(F.contains("text", F.lit("AKIA")), F.filter(spans_of(F.col("text"), ACCESS, 1, "access"), lambda s: s["end"] - s["start"] >= LEAST_ACCESS)).otherwise(F.expr(f"cast(array() as {_SPAN})"))
-    found = rows.withColumn("assign", assign).withColumn("access", access).withColumn("hex", spans_of(F.col("text"), HEX, 2, "hex"))
+    kept = {
+        "assign": (ASSIGN, lambda body: F.length(F.regexp_extract(body, ASSIGN, 2)) >= LEAST_VALUE),
+        "access": (ACCESS, lambda body: F.length(body) >= LEAST_ACCESS),
+        "hex": (HEX, lambda body: F.length(body) >= 16),
+    }
+    found = rows
+    for kind, name in enumerate(BASE_KINDS):
+        found = found.withColumn(name, spans_of(F.col("text"), kept[name][0], kind, name, kept[name][1]))
     some = lambda *kinds: F.greatest(*[F.size(k) for k in kinds], F.lit(0)) > 0
-    identified, secret = some("access", "account"), some("assign", "hex", "mixed")
-    nothing = F.expr(f"cast(array() as {_SPAN})")
-    weak = lambda gate, pattern, kind, name: F.when(gate, spans_of(F.col("text"), pattern, kind, name)).otherwise(nothing)
-    found = (
-        found.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-        .withColumn("account", spans_of(F.col("text"), WEAK_ID, 4, "account"))
-        .withColumn("mixed", weak(identified, WEAK_SECRET, 3, "secret"))
-        .withColumn("endpoint", weak(identified & secret, ENDPOINT, 5, "endpoint"))
-    )
-    gap = lambda a, b: F.greatest(a["start"], b["start"]) - F.least(a["end"], b["end"])
-    between = lambda a, b: F.substring(F.col("text"), F.least(a["end"], b["end"]) + 1, F.greatest(gap(a, b), F.lit(0)))
-    near = lambda a, b: (gap(a, b) <= scope) & ~F.contains(between(a, b), F.lit("\n\n"))
-    apart = lambda a, b: gap(a, b) >= 0
-    beside = lambda s, others: F.exists(others, lambda o: near(s, o) & apart(s, o))
-    free = lambda spans: F.filter(spans, lambda s: ~F.exists("base", lambda b: gap(s, b) < 0))
-    found = found.withColumn("mixed", free("mixed")).withColumn("account", free("account")).withColumn("endpoint", free("endpoint"))
-    identifiers, secrets = F.concat("access", "account"), F.concat("assign", "hex", "mixed")
-    linked = F.concat(
-        F.filter("mixed", lambda s: beside(s, identifiers)),
-        F.filter("account", lambda s: beside(s, F.concat("assign", "hex")) | beside(s, F.filter("mixed", lambda m: beside(m, F.col("access"))))),
-        F.filter("endpoint", lambda s: beside(s, identifiers) & beside(s, secrets)),
-    )
-    return found.withColumn("linked", F.array_sort(linked)).select("doc_id", "base", "linked", F.size("assign").alias("n_assign"), F.size("access").alias("n_access"), F.size("hex").alias("n_hex"))
+    masked = F.col("text")
+    for name in BASE_KINDS:
+        masked = F.when(F.size(name) > 0, blotted(masked, *kept[name])).otherwise(masked)
+    weak = lambda gate, pattern, kind, name: F.when(gate, spans_of(F.col("masked"), pattern, kind, name, lambda body: ~F.contains(body, F.lit(SPARE)))).otherwise(F.expr(_NONE))
+    found = found.withColumn("masked", F.when(some(*BASE_KINDS), masked).otherwise(F.col("text")))
+    found = found.withColumn("account", weak(F.lit(True), WEAK_ID, 4, "account"))
+    found = found.withColumn("mixed", weak(some("access", "account"), WEAK_SECRET, 3, "secret"))
+    both = some("access", "account") & some("assign", "hex", "mixed")
+    found = found.withColumn("endpoint", weak(both, ENDPOINT, 5, "endpoint"))
+    blank = F.when(both, spans_of(F.col("text"), BLANK, 6, "blank")).otherwise(F.expr(_NONE))
+    found = found.withColumn("spans", F.when(both, F.concat(*BASE_KINDS, "account", "mixed", "endpoint", blank)).otherwise(F.expr(_NONE)))
+
+    def reported(spans: Column) -> Column:
+        identified, secret = _any(spans, "access", "account"), _any(spans, "assign", "hex", "secret")
+        return F.when(identified & secret, F.filter(spans, lambda s: s["name"].isin("secret", "account", "endpoint"))).otherwise(F.expr(_NONE))
+
+    found = found.withColumn("linked", F.flatten(F.transform(scopes_of(F.col("spans"), scope), reported)))
+    return found.select("doc_id", F.sort_array(F.concat(*BASE_KINDS)).alias("base"), "linked", *[F.size(k).alias(f"n_{k}") for k in BASE_KINDS])
 
 
 def written(spans: Column) -> Column:
