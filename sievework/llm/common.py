@@ -77,13 +77,6 @@ class Scratch:
         self.drop(*[t for k, (_, t) in list(self.paths.items()) if k not in kept])
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def utf8(text: Column) -> Column:
     """Bytes of a text, null as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import slices, utf8
+from sievework.llm.common import Scratch, slices, utf8
 
-#: Bytes of benchmark text that one search holds; more is searched in blocks of this size.
-BLOCK_BYTES = 32 << 20
+#: Windows of the benchmark that one search holds, about 200 MB in the driver and in each worker; more is searched block after block.
+BLOCK_WINDOWS = 250_000
 #: Words in a block of the shift tables.
 BLOCK_WORDS = 2
 
@@ -26,6 +26,17 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_KEEP).split()
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order; those that meet or overlap are one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 class WuManber:
     """All windows of `window` consecutive words of each item; a shorter item is one window.
 
@@ -72,82 +83,65 @@ class WuManber:
                         items |= self.owners[p]
                         break
                 end += 1
-        merged: list[tuple[int, int]] = []
-        for start, end in sorted(found):
-            if merged and start <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
-            else:
-                merged.append((start, end))
-        return merged, items
+        return merged(found), items
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The columns of docs, n_words, hits (spans of words inside occurrences: start, end) and items (ids as sorted strings).
 
-    The benchmark is a query set: it is read in blocks of at most block_bytes of text, each searched in all documents;
-    with several blocks the spans are joined per document row. Columns of docs named like a result are replaced. Null or empty texts have no words and no hits; items
-    without words never occur; repeated items are one; a null item id is the string "null". Empty tables give empty
-    results or rows without hits.
+    The benchmark is a query set: it is read in blocks of at most about block_windows windows. Each block is searched in
+    all documents, which carry the spans and items of the blocks before and are stored in between; nothing is shuffled,
+    and equal rows stay as many. Columns of docs named like a result are replaced. Null or empty texts have no words and
+    no hits; items without words never occur; repeated items are one; a null item id is the string "null". Texts of any
+    length are searched whole. Empty tables give empty results or rows without hits.
     """
     spark = docs.sparkSession
     item = F.coalesce(F.col(item_col).cast("string"), F.lit("null"))
     queries = benchmark.select(item.alias("item"), utf8(F.col(item_text)).alias("text")).distinct()
-    blocks: list[list[tuple[str, list[bytes]]]] = [[]]
-    held, results = 0, []
     names = [c for c in docs.columns if c not in FOUND]
-    rows = docs.select(*names)
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*names).dtypes)
+    found = f"{fields}, n_words long, hits array<struct<start:long,end:long>>, items array<string>"
 
-    def searched(block: list[tuple[str, list[bytes]]]) -> DataFrame:
+    def searched(rows: DataFrame, block: list[tuple[str, list[bytes]]], again: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(WuManber(block, window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, column=text_col):
                 counts, hits, items = [], [], []
-                for text in batch.column(text_col):
+                before = batch.column("hits").to_pylist() if again else [()] * batch.num_rows
+                known = batch.column("items").to_pylist() if again else [()] * batch.num_rows
+                for text, old, had in zip(batch.column(text_col), before, known, strict=True):
                     w = words((text.as_py() or "").encode())
                     spans, owners = shared.value.search(w)
                     counts.append(len(w))
-                    hits.append([{"start": a, "end": b} for a, b in spans])
-                    items.append(sorted(owners))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], [*names, *FOUND])
+                    hits.append([{"start": a, "end": b} for a, b in merged([*spans, *((s["start"], s["end"]) for s in old)])])
+                    items.append(sorted({*owners, *had}))
+                kept = [batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], [*names, *FOUND])
 
-        return rows.mapInArrow(run, f"{fields}, n_words long, hits array<struct<start:long,end:long>>, items array<string>")
+        return rows.mapInArrow(run, found)
 
+    rows, scratch, again = docs.select(*names), Scratch(spark), False
+    block: list[tuple[str, list[bytes]]] = []
+    held = 0
     for row in queries.toLocalIterator():
         w = words(bytes(row["text"]))
-        if not w:
-            continue
-        if held and held + len(row["text"]) > block_bytes:
-            results.append(searched(blocks.pop()))
-            blocks.append([])
-            held = 0
-        held += len(row["text"])
-        blocks[-1].append((row["item"], w))
-    results.append(searched(blocks[-1]))
-    if len(results) == 1:
-        return results[0]
-    return _joined(names, results)
-
-
-def _joined(names: list[str], results: list[DataFrame]) -> DataFrame:
-    """One row per document row out of the results of several blocks; equal rows have equal results."""
-    every = results[0]
-    for more in results[1:]:
-        every = every.unionByName(more)
-    every = every.withColumn("copies", F.lit(1))
-    n = len(results)
-    joined = every.groupBy(*names, "n_words").agg(F.flatten(F.collect_list("hits")).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("copies").alias("copies"))
-    spans = F.array_sort("h")
-    merge = F.aggregate(
-        spans,
-        F.expr("cast(array() as array<struct<start:long,end:long>>)"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    return joined.withColumn("hits", F.when(F.size("h") > 0, merge).otherwise(F.col("h"))).withColumn("one", F.explode(F.sequence(F.lit(1), (F.col("copies") / n).cast("int")))).select(*names, *FOUND)
+        windows = max(1, len(w) - window + 1)
+        if w and block and held + windows > block_windows:
+            before, rows = rows, scratch.store(searched(rows, block, again), "searched")
+            scratch.drop(before)
+            block, held, again = [], 0, True
+        if w:
+            held += windows
+            block.append((row["item"], w))
+    return searched(rows, block, again)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, with the columns of docs, whatever their names."""
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    found = contamination(find_benchmark(docs.toDF(*at.values()), benchmark, text_col=at[text_col]))
+    return found.where(~F.col("contaminated")).select(*[F.col(c).alias(name) for name, c in at.items()])
 
 
 def contamination(found: DataFrame) -> DataFrame:

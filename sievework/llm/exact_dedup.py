@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.llm.common import lookup_join, store
 
@@ -57,13 +58,33 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of docs that `exact_dedup` keeps, by the same grouping: key, then bytes, combined before the shuffle.
 
     The keeper's columns travel through the aggregation, so texts are shuffled once and joined with nothing. Rows that
-    repeat id and text become one, the least or greatest of their other columns.
+    repeat id and text become one, the least or greatest of their other columns, as far as these have an order. A null id
+    is kept only in a group without ids, and null counts as an empty text but stays null. Columns may have any name. An
+    empty table gives an empty result.
     """
     names = docs.columns
-    pick = F.min if keep == "smallest" else F.max
-    others = [c for c in names if c not in (id_col, text_col)]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(text.alias("text"), F.struct(F.col(id_col), F.col(text_col).isNull().alias("none"), *others).alias("row")).withColumn("k", key(F.col("text")))
-    kept = rows.groupBy("k", "text").agg(pick("row").alias("row"))
-    value = {c: F.col(f"row.`{c}`") for c in names if c != text_col} | {text_col: F.when(~F.col("row.none"), F.col("text"))}
-    return kept.select(*[value[c].alias(c) for c in names])
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    smallest = keep == "smallest"
+    rows = docs.toDF(*at.values())
+    own_id, own_text = F.col(at[id_col]), F.col(at[text_col])
+    known = own_id.isNull() if smallest else own_id.isNotNull()
+    others = [at[c] for c in names if c not in (id_col, text_col)]
+    unordered = [c for c in others if _has_no_order(rows.schema[c].dataType)]
+    order = F.struct(known.alias("known"), own_id.alias("id"), own_text.isNull().alias("none"), *[c for c in others if c not in unordered])
+    text = F.coalesce(own_text, F.lit(""))
+    rows = rows.select(text.alias("text"), order.alias("order"), F.struct(*unordered).alias("more") if unordered else F.lit(None).alias("more")).withColumn("k", key(F.col("text")))
+    if unordered:
+        pick = F.min_by if smallest else F.max_by
+        kept = rows.groupBy("k", "text").agg(pick(F.struct("order", "more"), F.col("order")).alias("row")).select("text", "row.order", "row.more")
+    else:
+        kept = rows.groupBy("k", "text").agg((F.min if smallest else F.max)("order").alias("order"))
+    value = {id_col: F.col("order.id"), text_col: F.when(~F.col("order.none"), F.col("text"))}
+    return kept.select(*[value.get(c, F.col(f"{'more' if at[c] in unordered else 'order'}.{at[c]}")).alias(c) for c in names])
+
+
+def _has_no_order(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_no_order(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_no_order(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.VariantType))

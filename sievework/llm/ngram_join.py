@@ -17,7 +17,7 @@ from sievework.llm.components import components
 from sievework.llm.hashing import hash_words, shingles
 
 #: Bytes of text that are counted together, of n-grams in a part, and of prefix entries in a part.
-HOME_BYTES, PART_BYTES, ENTRY_BYTES = 8 << 20, 16 << 20, 8 << 20
+HOME_BYTES, PART_BYTES, ENTRY_BYTES = 6 << 20, 8 << 20, 8 << 20
 #: N-grams that a unit of the exact end aims at, and that it holds at the most.
 UNIT, MOST = 1 << 19, 1 << 22
 #: Frequencies are told apart up to EXACT documents, by quarters of a power of two beyond; common n-grams meet at nodes.

@@ -146,17 +146,19 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             kept = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(seq), pa.array(off)], [*keep, "sequence_id", "offset"])
 
-    keep = [c for c in pieces.columns if c not in ("nth", "task", "sequence_id", "offset")]
+    keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     numbered = pieces.join(firsts, ["length", "task"])
     fields = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in keep)
-    return numbered.select(*keep, "nth", "first").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return numbered.select(*keep, "first").mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, **columns) -> tuple[DataFrame, DataFrame]:
     """(pieces with their ids, placement): the pieces are stored, and the placement of each carries no ids.
 
-    placement: doc_id, piece, start, length, ids_crc32, sequence_id, offset. See `sequences` for the packed ids.
-    An empty table gives empty results.
+    placement: doc_id, piece, start, length, ids_crc32, task, nth (with the length, these two name a piece, whatever ids
+    repeat or are null), sequence_id, offset. See `sequences` for the packed ids. Equal rows are placed as often as they
+    occur; pieces of one length are interchangeable, and ties in the plan go to the longer piece. Texts of any length are
+    cut into pieces; other columns are not read. An empty table gives empty results.
     """
     pieces = store(tokenized_pieces(docs, tokenizer_path, capacity, **columns), "pieces")
     slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "task", "nth")
@@ -165,8 +167,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, *
 
 def sequences(pieces: DataFrame, placement: DataFrame) -> DataFrame:
     """The packed sequences: sequence_id, ids (concatenated, little-endian), and the ends of the documents in them."""
-    own = pieces.select(F.col("doc_id").alias("d"), F.col("piece").alias("p"), "ids")
-    both = placement.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("piece") == F.col("p")))
+    both = placement.join(pieces.select("task", "length", "nth", "ids"), ["task", "length", "nth"])
     parts = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
     return both.groupBy("sequence_id").agg(parts.alias("parts")).select(
         "sequence_id",

@@ -132,7 +132,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learns: Column, label: str =
 
 
 def with_quality(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """The columns of docs and `__quality`, the probability of label 1 of the whole text (null: empty)."""
+    """The columns of docs (none of them `__quality`) and `__quality`, the probability of label 1 of the whole text (null: empty)."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     Labels of documents whose crc32(id) mod `folds` is `held_out` are never used. The model is a few thousand numbers,
     and one pass computes statistics and scores; nothing is shuffled. Empty and null texts are scored by statistics of
     0; a null id has no label; repeated rows are scored alike; without labels, or with one label only, every score is
-    the smoothed rate of label 1. An empty table gives an empty result.
+    the smoothed rate of label 1. Texts of any length are read whole; a score of exactly 0.5 predicts 1; other columns are
+    not read. An empty table gives an empty result.
     """
     trees = fit_quality(docs, labels, crc_of_id(F.col(id_col)) % folds != held_out, id_col=id_col, text_col=text_col)
     scored = with_quality(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), trees)
@@ -158,6 +159,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is `least` or more, with the columns of docs."""
+    """The rows of docs whose score is `least` or more, with the columns of docs, whatever their names.
+
+    Null and empty texts, null ids, repeated rows and empty tables are as in `score_quality`.
+    """
     trees = fit_quality(docs, labels, crc_of_id(F.col("doc_id")) % folds != held_out)
-    return with_quality(docs, trees).where(F.col("__quality") >= least).select(*docs.columns)
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    scored = with_quality(docs.toDF(*at.values()), trees, text_col=at["text"])
+    return scored.where(F.col("__quality") >= least).select(*[F.col(c).alias(name) for name, c in at.items()])

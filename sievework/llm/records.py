@@ -27,6 +27,7 @@ from sievework.llm.common import scratch_path, slices, utf8
 from sievework.llm.tokenization import encoder
 
 FLAG_NULL, FLAG_WIDE = 1, 2
+RECORD = "doc_id long, start long, n_tokens long, ids binary"
 HEAD, PAYLOAD, INDEX = struct.Struct("<QI"), struct.Struct("<BqI"), struct.Struct("<QQ")
 
 
@@ -61,6 +62,14 @@ def unframe(data: bytes, at: int = 0) -> tuple[int | None, bytes, int]:
     return (None if flags & FLAG_NULL else doc_id), ids, at + HEAD.size + n + 4
 
 
+def read_frame(file, offset: int) -> tuple[int | None, bytes]:
+    """(doc_id, ids) of the frame at an offset."""
+    file.seek(offset)
+    head = file.read(HEAD.size)
+    doc_id, ids, _ = unframe(head + file.read(HEAD.unpack(head)[0] + 4))
+    return doc_id, ids
+
+
 def index_entry(offset: int, tokens: int) -> bytes:
     return INDEX.pack(offset, tokens)
 
@@ -79,12 +88,16 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, partitions:
     """Encodes whole texts, each with its end id, and writes them in ascending id order; gives the manifest.
 
     Rows are dealt by ranges of the id and sorted there, so files in manifest order hold all ids ascending (nulls
-    first, repeated ids by text). Each task writes a data and an index file under a name of its own, and only the names
+    first, repeated ids by a hash of the text, then the text). Each task writes a data and an index file under a name of its own, and only the names
     of tasks that succeeded come back, so a task that runs twice leaves an orphan and no duplicate. manifest: (path of
     the data file, documents, token ids) of each file in order, a row a file.
+
+    Ids are integers; ranges are cut by id and a hash of the text, so that not even null or repeated ids gather in one
+    task. Null texts are empty, equal rows are written as often as they occur, and texts of any length are one record.
+    Other columns are not read. An empty table gives an empty manifest.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text")).withColumn("tie", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(partitions, "doc_id", "tie") if partitions else rows.repartitionByRange("doc_id", "tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -112,7 +125,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, partitions:
         if count:
             yield pa.RecordBatch.from_pydict({"task": [task], "path": [f"{folder}/{name.rpartition('/')[2]}.rec"], "docs": [count], "tokens": [tokens]})
 
-    made = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(write, "task long, path string, docs long, tokens long")
+    made = dealt.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text").mapInArrow(write, "task long, path string, docs long, tokens long")
     return [(r["path"], r["docs"], r["tokens"]) for r in sorted(made.collect(), key=lambda r: r["task"])]
 
 
@@ -121,10 +134,9 @@ def read_records(spark, manifest: list[tuple[str, int, int]], chunk: int = 2000)
 
     start counts the ids of all documents before. Files are cut into runs of `chunk` frames that tasks read on their own.
     """
-    work, before = [], 0
-    for path, count, tokens in manifest:
-        work += [(path, first, min(chunk, count - first), before) for first in range(0, count, chunk)]
-        before += tokens
+    runs = sum(-(-count // chunk) for _, count, _ in manifest)
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(chunk).cast("long")))
+    listed = _listed(spark, manifest).withColumn("first", first).select("path", "first", F.least(F.lit(chunk), F.col("count") - F.col("first")).alias("n"), "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,8 +157,50 @@ def read_records(spark, manifest: list[tuple[str, int, int]], chunk: int = 2000)
                 if out:
                     yield _batch(out)
 
-    listed = spark.createDataFrame(work, "path string, first long, n long, start long")
-    return listed.repartition(max(1, min(len(work), 10_000))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return listed.repartition(max(1, len(manifest), min(runs, 10_000))).mapInArrow(read, RECORD)
+
+
+def _listed(spark, manifest: list[tuple[str, int, int]]) -> DataFrame:
+    """path, count, start (token ids before the file) of each file."""
+    rows, before = [], 0
+    for path, count, tokens in manifest:
+        rows.append((path, count, before))
+        before += tokens
+    return spark.createDataFrame(rows, "path string, count long, start long")
+
+
+def read_shuffled(spark, manifest: list[tuple[str, int, int]], seed: int = 0, tasks: int | None = None) -> DataFrame:
+    """All records as `read_records` gives them, in a random order that the seed names.
+
+    Frames, not runs of them, are dealt to tasks and ordered there by a keyed hash of file and frame, and the index says
+    where each lies: a task seeks from frame to frame, and no data are exchanged.
+    """
+    frames = _listed(spark, manifest).withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    order = F.xxhash64(F.lit(seed), "path", "frame")
+    dealt = frames.select("path", "frame", "start", order.alias("order")).repartition(tasks or max(1, len(manifest)), "order").sortWithinPartitions("order", "path", "frame")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: dict[str, tuple] = {}
+        for batch in batches:
+            out = []
+            for path, number, start in zip(*(batch.column(c).to_pylist() for c in ("path", "frame", "start")), strict=True):
+                if path not in files:
+                    if len(files) >= 64:
+                        for f in files.pop(next(iter(files))):
+                            f.close()
+                    place, name = _open(path)
+                    files[path] = place.open_input_file(f"{name[:-4]}.idx"), place.open_input_file(name)
+                index, data = files[path]
+                ((offset, tokens),) = read_index(index, number, 1)
+                doc_id, ids = read_frame(data, offset)
+                out.append((doc_id, start + tokens, len(ids) // 4, ids))
+                if len(out) == 250:
+                    yield _batch(out)
+                    out = []
+            if out:
+                yield _batch(out)
+
+    return dealt.mapInArrow(read, RECORD)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.common import store
+from sievework.llm.common import small_side, store
 
 #: Blocks of input whose counts the driver draws from. A bound: more input partitions are coalesced.
-MAX_BLOCKS = 4096
+MAX_BLOCKS = 1 << 15
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -69,11 +69,13 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, seed: int = 17, id_co
        numbered, and the blocks are stored, so that counts and rows agree whatever executors are lost later.
     2. The driver draws the exact block-to-shard counts (at most MAX_BLOCKS x shards numbers).
     3. A row's place in its block and the drawn counts name its shard.
-    4. Rows are exchanged by shard and a range of a second keyed hash, of at most about bucket_rows rows each, and
-       numbered there; the ranges' counts give each its first slot. No task holds a whole shard.
+    4. Rows are exchanged by shard and a range of a keyed hash of their place, of about bucket_rows rows each, and
+       numbered there; sums of the ranges' counts give each its first slot. No task holds a whole shard, and neither a
+       repeated id nor a null one gathers rows in one.
 
-    Shard sizes differ by one at most. Nulls in any column, empty texts and repeated rows are rows like others (full
-    repeats are interchangeable); an empty table gives an empty result. Clashing extra columns shard or slot are replaced.
+    Shard sizes differ by one at most. Nulls in any column, empty and very long texts and repeated rows are rows like
+    others (full repeats are interchangeable); ids and columns may be of any type. An empty table gives an empty result.
+    Columns of docs named shard or slot are replaced.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
@@ -90,20 +92,20 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, seed: int = 17, id_co
             so_far += n
             ends.append(so_far)
         bounds.append((block, ends))
-    drawn = spark.createDataFrame(bounds, "block long, ends array<long>")
+    drawn = spark.createDataFrame(bounds, "block long, ends array<long>")  # MAX_BLOCKS rows at most
     buckets = max(8, math.ceil(sum(n for _, n in sizes) / shards / bucket_rows))
-    order = F.xxhash64(F.lit(seed + 1), key)
+    order = F.xxhash64(F.lit(seed + 1), "block", "place")
     sent = blocks.join(F.broadcast(drawn), "block").select(
         "row",
         F.size(F.filter("ends", lambda e: e <= F.col("place"))).alias("shard"),
         order.alias("order"),
         F.pmod(order, F.lit(buckets)).cast("int").alias("bucket"),
+        "block",
+        "place",
     )
-    counts = sent.groupBy("shard", "bucket").count().collect()
-    firsts, so_far = [], {}
-    for shard, bucket, n in sorted(tuple(r) for r in counts):
-        firsts.append((shard, bucket, so_far.get(shard, 0)))
-        so_far[shard] = so_far.get(shard, 0) + n
-    starts = spark.createDataFrame(firsts, "shard int, bucket int, first long")
-    numbered = sent.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("order", *ties)))
-    return numbered.join(F.broadcast(starts), ["shard", "bucket"]).select("row.*", "shard", (F.col("first") + F.col("nth") - 1).alias("slot"))
+    counts = store(sent.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")), "shard-counts")
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("order", "block", "place"))
+    placed = sent.withColumn("nth", nth).join(small_side(starts, counts.count()), ["shard", "bucket"])
+    return placed.select("row.*", "shard", (F.col("first") + F.col("nth") - 1).alias("slot"))

@@ -9,7 +9,7 @@ import struct
 #: Pieces that a worker remembers; rarer ones are encoded again. A bound on memory, not on results.
 MOST_PIECES = 600_000
 END_ID = 1
-SAMPLE = "It's the Élève's über-große Straße, 42% of (x+y)=z; niño's 'tis we'll DON'T... á été 中文 İx <|endoftext|> ~til__und#er https://a.b/c?d=e ÿß×÷ K Å ẞ\n\tEnd."
+SAMPLE = "It's the Élève's über-große Straße, 42% of (x+y)=z; niño's 'tis we'll DON'T... á été 中文 İx ~til__und#er https://a.b/c?d=e ÿß×÷ K Å ẞ\n\tEnd."
 
 
 class ChunkEncoder:
@@ -18,14 +18,16 @@ class ChunkEncoder:
     Texts of ASCII and Latin-1 letters, the most by far, are lower-cased and cut into the pieces that the file's
     pre-tokenizer makes, and the file's model encodes each distinct piece once a worker. In other texts each chunk
     between white space goes through the file's whole pipeline, which never joins across white space. Both ways are
-    compared with the pipeline at the start; where a file differs, whole texts are encoded by it.
+    compared with the pipeline at the start; where a file differs, whole texts are encoded by it. So are texts that may
+    hold one of the file's added tokens, which have ids of their own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)).encode(), re.IGNORECASE).search if added else lambda text: None
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
         letters = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -33,7 +35,7 @@ class ChunkEncoder:
         self.plain = re.compile(f"[{re.escape(plain)} \t\n\r\x0b\x0c]*")
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^\s{letters}0-9]+").findall
         self.table = {ord(c): "".join(p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(c)) for c in plain} if self.whole.pre_tokenizer else {}
-        self.short = self.chunked = True
+        self.short = self.chunked = "".join(added).isascii()  # added tokens are found in any case, but in one form only
         wanted = [self._whole(s) for s in (SAMPLE, SAMPLE.encode("ascii", "ignore").decode())]
         for way in ("short", "chunked"):
             if [self.encode(s.encode()) for s in (SAMPLE, SAMPLE.encode("ascii", "ignore").decode())] == wanted:
@@ -63,6 +65,8 @@ class ChunkEncoder:
         return ids
 
     def encode(self, text: bytes) -> bytes:
+        if self.added(text):
+            return self._whole(text.decode("utf-8", "replace"))
         if self.short:
             low = text.decode("utf-8", "replace").lower()
             if self.plain.fullmatch(low):
