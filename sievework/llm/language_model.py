@@ -3,112 +3,51 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import crc_of_id, free_shuffles, store, utf8
+from sievework.llm.common import Scratch, crc_of_id, joined, slices, squeeze, unsqueeze, utf8
 from sievework.llm.hashing import END, chained, hash_words
 
-#: Bytes of text in a block, the unit of work; and of text for each part of the n-gram keys.
-BLOCK_BYTES, PART_BYTES = 3 << 20, 4 << 20
+#: Bytes of text in a home, the unit of work; and of text for each part of the n-gram keys.
+HOME_BYTES, PART_BYTES = 12 << 20, 16 << 20
 HELD_OUT, DELETED, TRAINING = 2, 1, 0
 #: The contexts' frequencies are told apart by powers of two up to this one.
 MOST_BUCKETS = 40
-#: Grid of the held-out estimates for the expectation-maximisation: steps per power of two, and the number of steps.
-FINE, STEPS = 4, 160
+#: Grid of the held-out estimates, for the expectation-maximisation alone: steps per power of two (an estimate is 4.5 % off
+#: at the most), and the number of steps. It bounds what the driver gets, however large the corpus.
+FINE = 8
+STEPS = FINE * MOST_BUCKETS + 2
 LEAST_WEIGHT = 1e-6
 
 
-def ngrams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, unigram key, bigram key of each token; first token of each document).
-
-    The end is a token, and the context of the first. Unigram keys are odd and bigram keys even.
-    """
-    one = np.uint64(1)
-    tokens = [np.append(hash_words(t), END) for t in texts]
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    every = np.concatenate(tokens) if tokens else np.empty(0, np.uint64)
-    first = np.cumsum(sizes) - sizes
-    before = np.empty_like(every)
-    before[1:] = every[:-1]
-    before[first] = END
-    return np.repeat(np.arange(len(tokens)), sizes), every | one, chained([before, every]) & ~one, first
-
-
-def of_context(word: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """What `word` holds of each token, of its context: the token before, or the end, a document's last token."""
-    out = np.empty_like(word)
-    out[1:] = word[:-1]
-    out[first] = word[-1:]
-    return out
-
-
-def _split(table: pa.Table) -> tuple[list, list, np.ndarray]:
-    return table.column("doc_id").combine_chunks(), [t.as_py() for t in table.column("text")], table.column("fold").to_numpy().astype(np.int64)
-
-
-def planes(numbers: np.ndarray) -> bytes:
-    """The numbers byte by byte, all least bytes first: leading zeros lie together, and compress well on the way."""
-    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
-
-
-def unplanes(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as planes of their differences."""
-    return planes(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
-
-
-def _joined(parts: list, kind) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.empty(0, kind)
-
-
-def _keys(table: pa.Table) -> list[np.ndarray]:
-    return [unpack_keys(x.as_py()) for x in table.column("keys")]
-
-
-def _counts(table: pa.Table, name: str) -> np.ndarray:
-    return _joined([unplanes(x.as_py(), np.uint32) for x in table.column(name)], np.uint32)
-
-
-def block_counts(doc: np.ndarray, uni: np.ndarray, bi: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted keys of a block, the place of each token's unigram and then bigram, counts in training texts, in deleted ones)"""
-    keys, place = np.unique(np.concatenate([uni, bi]), return_inverse=True)
-    of = np.tile(fold[doc], 2)
-    return keys, place, *(np.bincount(place[of == f], minlength=len(keys)).astype(np.uint32) for f in (TRAINING, DELETED))
-
-
 def bucket_of(count: np.ndarray) -> np.ndarray:
     """0: never seen, else 1 + the power of two."""
     return np.where(count > 0, 1 + np.floor(np.log2(np.maximum(count, 1))).astype(np.int64), 0).clip(0, MOST_BUCKETS)
 
 
-def grid(p: np.ndarray) -> np.ndarray:
-    """0: nothing, else 1 + steps below probability 1."""
-    return np.where(p > 0, 1 + np.round(-FINE * np.log2(np.maximum(p, 1e-300))).astype(np.int64).clip(0, STEPS - 2), 0)
+def grid(x: np.ndarray) -> np.ndarray:
+    """0: nothing, else 1 + the steps from 1 to x, or from x to 1 where x is a share."""
+    return np.where(x > 0, 1 + np.round(FINE * np.abs(np.log2(np.maximum(x, 1e-300)))).astype(np.int64).clip(0, STEPS - 2), 0)
 
 
-def expectation_maximisation(cells: list[tuple[int, int, int, int]], floor: float, rounds: int = 60) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) for each bucket from (bucket, bigram step, unigram step, count) of deleted tokens.
+def expectation_maximisation(cells: np.ndarray, n_kept: int, floor: float, rounds: int = 60) -> np.ndarray:
+    """Weights (bigram, unigram, uniform) for each bucket from rows (bucket, step of the bigram's share, step of the
+    word's count among n_kept, number) of deleted tokens.
 
     A bucket without tokens gets the weights of all buckets together; no weight but the bigram's is below LEAST_WEIGHT.
     """
     weights = np.zeros((MOST_BUCKETS + 1, 3))
-    data = np.array(cells, np.float64).reshape(-1, 4)
-    value = lambda step: np.where(step > 0, 2.0 ** (-(step - 1) / FINE), 0.0)
+    data = np.asarray(cells, np.float64).reshape(-1, 4)
+    value = lambda step, sign: np.where(step > 0, 2.0 ** (sign * (step - 1) / FINE), 0.0)
 
     def fit(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-        p = np.stack([value(rows[:, 1]), value(rows[:, 2]), np.full(len(rows), floor)], 1)
+        p = np.stack([value(rows[:, 1], -1), value(rows[:, 2], 1) / max(n_kept, 1), np.full(len(rows), floor)], 1)
         w = start
         for _ in range(rounds):
             share = p * w
@@ -127,121 +66,190 @@ def expectation_maximisation(cells: list[tuple[int, int, int, int]], floor: floa
     return weights
 
 
+def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, frequent ones first; the place of each token's word; number of tokens of each text); the end is a token.
+
+    Small numbers for frequent words: the places are what travels most.
+    """
+    found = [np.append(hash_words(t), END) for t in texts]
+    words, place, n = np.unique(joined(found, np.uint64), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return words[order], rank[place], np.array([len(t) for t in found], np.int64)
+
+
+def pairs_of(place: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word of each distinct bigram; each token's bigram). The end of a text, its last token, is the context of its first."""
+    place = place.astype(np.int64)
+    before = np.empty_like(place)
+    before[1:] = place[:-1]
+    before[np.cumsum(sizes) - sizes] = place[-1:]
+    pairs, of = np.unique(before * width + place, return_inverse=True)
+    return pairs // width, pairs % width, of
+
+
+def keys_of(words: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Odd keys of the words, then keys of the bigrams, whose last byte is 0: it would cost a byte for each on the way."""
+    return np.concatenate([words | np.uint64(1), chained([words[context], words[word]]) & ~np.uint64(255)])
+
+
+def _packed(*batches: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    for b in batches:
+        with pa.ipc.new_stream(out, b.schema) as writer:
+            writer.write_batch(b)
+    return out.getvalue().to_pybytes()
+
+
+OFFERED = "group long, home long, part int, keys binary, train binary, less binary, about binary"
+COUNTED = "home long, part int, keys binary, train binary, less binary, about binary, types long"
+MET = "about binary, places binary, n_words long, word_counts binary, pair_counts binary, cells binary, cell_counts binary, types long, tokens long, kept long"
+
+
+def count_ngrams(rows: DataFrame, n_bytes: int) -> DataFrame:
+    """One row for each home, a slice of the rows (doc_id, text, fold), with all that its scores need, as MET has it.
+
+    A home says of each part of the n-gram keys which it has and how often; parts add up and send totals back. Texts are
+    read once: the sequence of a home's words, as numbers, passes by to where the home's totals meet.
+    """
+    bits = max(1, (math.ceil(n_bytes / PART_BYTES) - 1).bit_length())
+    parts = 1 << bits
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, batch in enumerate(slices(batches, HOME_BYTES)):
+            home = TaskContext.get().partitionId() << 32 | at
+            words, place, sizes = tokens([t.as_py() for t in batch.column("text")])
+            context, word, of = pairs_of(place, sizes, len(words))
+            keys = keys_of(words, context, word)
+            fold = np.repeat(batch.column("fold").to_numpy(), sizes)
+            count = lambda f: np.concatenate([np.bincount(place[fold == f], minlength=len(words)), np.bincount(of[fold == f], minlength=len(word))]).astype("<u8")  # noqa: B023, E731
+            train, less = count(TRAINING), count(DELETED)
+            order = np.argsort(keys, kind="stable")
+            keys, train, less = keys[order], train[order], less[order]
+            cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(parts + 1, dtype=np.uint64))
+            out = [(p, home, p, squeeze(keys[a:z], True), squeeze(train[a:z]), squeeze(less[a:z]), None) for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < z]
+            about = _packed(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), pa.array(sizes)], ["doc_id", "fold", "size"]))
+            # a group of its own: this row only passes by
+            out.append((parts + (home * 0x9E3779B97F4A7C15 >> 3) % (1 << 60), home, -1, squeeze(words), squeeze(place), b"", about))
+            columns = zip(*out, strict=True)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["group", "home", "part", "keys", "train", "less", "about"])
+
+    def add(key, table):
+        part = table.column("part")
+        if part[0].as_py() < 0:
+            passing = table.select(["home", "part", "keys", "train", "less", "about"])
+            return passing.append_column("types", pa.array([0] * len(passing), pa.int64()))
+        own = [unsqueeze(x.as_py(), np.uint64, True) for x in table.column("keys")]
+        train, less = (np.concatenate([unsqueeze(x.as_py(), "<u8") for x in table.column(c)]) for c in ("train", "less"))
+        keys = np.concatenate(own)
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        group = np.empty(len(keys), np.int64)
+        group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+        train, less = np.add.reduceat(train[order], first), np.add.reduceat(less[order], first)
+        # each word that training texts have counts as a type where it stands first
+        types = np.zeros(len(keys), np.int64)
+        types[order[first[((train + less) > 0) & ((ordered[first] & np.uint64(1)) == 1)]]] = 1
+        ends = np.cumsum([len(k) for k in own])
+        cut = [(z - len(k), z) for k, z in zip(own, ends, strict=True)]
+        nothing = [b""] * len(own)
+        return pa.table({"home": table.column("home"), "part": part, "keys": pa.array(nothing, pa.binary()), "train": pa.array([squeeze(train[group[a:z]]) for a, z in cut], pa.binary()), "less": pa.array([squeeze(less[group[a:z]]) for a, z in cut], pa.binary()), "about": pa.array(nothing, pa.binary()), "types": pa.array([int(types[a:z].sum()) for a, z in cut], pa.int64())})
+
+    def meet(key, table):
+        part = table.column("part").to_numpy()
+        own = int(np.flatnonzero(part < 0)[0])
+        text = lambda c: table.column(c)[own].as_py()
+        told = pa.ipc.open_stream(text("about")).read_all()
+        fold, sizes = (told.column(c).to_numpy() for c in ("fold", "size"))
+        words, place = unsqueeze(text("keys"), np.uint64), unsqueeze(text("train"), np.uint32)
+        context, word, of = pairs_of(place, sizes, len(words))
+        order = np.argsort(keys_of(words, context, word), kind="stable")
+        at = [i for i in np.argsort(part, kind="stable").tolist() if part[i] >= 0]
+        total = []
+        for c in ("train", "less"):
+            found = np.empty(len(order), np.int64)
+            found[order] = joined([unsqueeze(table.column(c)[i].as_py(), "<u8") for i in at], np.uint64)
+            total.append(found)
+        kept, less = total
+        # deleted tokens of this home, by bigram, meet the counts of the training texts
+        deleted = np.bincount(of[np.repeat(fold == DELETED, sizes)], minlength=len(word))
+        some = np.flatnonzero(deleted)
+        seen, pair = kept[context[some]], kept[len(words) :][some]
+        cell = (bucket_of(seen) * STEPS + grid(pair / np.maximum(seen, 1))) * STEPS + grid(kept[word[some]])
+        cells, where = np.unique(cell, return_inverse=True)
+        cell_counts = np.bincount(where, weights=deleted[some], minlength=len(cells)).astype(np.int64)
+        both = (kept + less).astype("<u8")
+        learns = int(sizes[fold != HELD_OUT].sum())
+        row = [text("about"), text("train"), len(words), squeeze(both[: len(words)]), squeeze(both[len(words) :]), cells.astype("<i8").tobytes(), cell_counts.astype("<i8").tobytes(), sum(table.column("types").to_pylist()), learns, int(sizes[fold == TRAINING].sum())]
+        kinds = [pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * 3]
+        names = [c.split()[0] for c in MET.split(", ")]
+        return pa.table({c: pa.array([x], k) for c, x, k in zip(names, row, kinds, strict=True)})
+
+    counted = rows.mapInArrow(offer, OFFERED).groupBy("group").applyInArrow(add, COUNTED)
+    return counted.groupBy("home").applyInArrow(meet, MET)
+
+
+def learned(met: DataFrame, types: int, n_kept: int) -> np.ndarray:
+    """The mixture weights from what the homes' deleted tokens met."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cells, n in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), "<i8")) for x in (cells, n)], ["cell", "n"])
+
+    cells = met.select("cells", "cell_counts").mapInArrow(unpack, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = (cells.column(c).to_numpy() for c in ("cell", "n"))
+    return expectation_maximisation(np.stack([cell // STEPS**2, cell // STEPS % STEPS, cell % STEPS, n], 1), n_kept, 1 / (types + 1))
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_out: int = 0, deleted: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts.
 
     Learns from the documents whose crc32(id) mod `folds` is not `held_out`; those with the remainder `deleted` are the
     ones on which the mixture weights are learned, and count again in the final estimates.
 
-    1. Documents are dealt into blocks of about BLOCK_BYTES by a hash of the id. A block's distinct n-gram keys with
-       their counts go to parts by the keys' leading bits, packed: one row a block and part, so a frequent n-gram is one
-       entry a block and no part is hot.
-    2. Each part adds up the counts of all blocks and sends back, to each block, the totals of those of its keys that
-       other blocks hold too; for the others a block's own counts are the totals.
-    3. Deleted documents meet their totals, and a histogram on a fixed grid of (context bucket, bigram estimate,
-       unigram estimate) goes to the driver for the expectation-maximisation.
-    4. Blocks meet their totals and score their documents.
-
-    Nothing grows with the corpus on the driver or in a task. Keys are 64-bit hashes: two n-grams in 10^9 share one with
-    a chance of 3 in 100. Null texts are empty: one token, the end. A null id counts as the empty text in the crc32, so
-    it is held out. Equal rows score alike. Without training documents every probability is that of the uniform part.
+    1. Slices of the table, homes, meet the totals of their n-grams (`count_ngrams`). A frequent n-gram is one entry a
+       home, so no part of the keys is hot, and neither a repeated id nor a null one gathers rows in a task.
+    2. Deleted tokens, on a grid of (context bucket, bigram share, word count) that bounds its size, go to the driver for
+       the expectation-maximisation.
+    3. Homes score their documents from their stored totals: p(w | v) = a c(vw) / c(v) + b c(w) / N + c / (V + 1), with
+       weights a, b, c by the bucket of c(v); estimates and scores are not rounded.
+
+    Nothing grows with the corpus on the driver or in a task. Words are held as 63-bit hashes: two in 10^9 share one with a
+    chance of 5 in 100. Bigrams are held as 56-bit hashes: 7 pairs in 10^9 share a count, which moves `score` alone. Null texts are empty: one token, the end. A null id counts as the empty text in the crc32, so
+    it is held out. Ids may be of any type and may repeat; equal rows score alike, each with its row. A text is never cut:
+    the longest one bounds a home from below. Other columns are not read. Without training documents every probability is
+    that of the uniform part; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     rest = crc_of_id(F.col(id_col)) % folds
     fold = F.when(rest == held_out, HELD_OUT).when(rest == deleted, DELETED).otherwise(TRAINING)
-    id_type = dict(docs.dtypes)[id_col]
+    id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text"), fold.alias("fold"))
     size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 1
-    blocks, parts = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / PART_BYTES))
-    bits = max(1, (parts - 1).bit_length())
-    seed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("block", F.pmod(seed, F.lit(blocks)).cast("int"))
-
-    def count(key, table):
-        _, texts, of = _split(table)
-        doc, uni, bi, _ = ngrams(texts)
-        keys, _, train, less = block_counts(doc, uni, bi, of)
-        ends = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        cut = [(p, a, b) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
-        n = len(cut)
-        return pa.table({"part": pa.array([p for p, _, _ in cut], pa.int32()), "block": pa.array([key[0].as_py()] * n, pa.int32()), "keys": pa.array([pack_keys(keys[a:b]) for _, a, b in cut], pa.binary()), "train": pa.array([planes(train[a:b]) for _, a, b in cut], pa.binary()), "less": pa.array([planes(less[a:b]) for _, a, b in cut], pa.binary())})
-
-    counted = rows.groupBy("block").applyInArrow(count, "part int, block int, keys binary, train binary, less binary")
-
-    def add(key, table):
-        own = _keys(table)
-        sizes, keys = [len(k) for k in own], np.concatenate(own)
-        train, less = _counts(table, "train"), _counts(table, "less")
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-        total, all_less = np.add.reduceat(train[order].astype(np.int64), first), np.add.reduceat(less[order].astype(np.int64), first)
-        odd = (ordered[first] & np.uint64(1)) == 1
-        stats = [int(((total + all_less) > 0)[odd].sum()), int((total + all_less)[odd].sum()), int(total[odd].sum())]
-        back = np.empty(len(keys), np.int64)
-        back[order] = group
-        shared = np.diff(np.append(first, len(keys)))[back] > 1
-        out: dict[str, list] = {c: [] for c in ("block", "kind", "part", "shared", "counts", "n_types", "n_tokens", "n_kept")}
-        put = lambda *row: [out[c].append(x) for c, x in zip(out, row, strict=True)]
-        own_part = key[0].as_py()
-        put(-1, -1, own_part, b"", b"", *stats)
-        at = 0
-        for block, n in zip(table.column("block").to_pylist(), sizes, strict=True):
-            part = slice(at, at + n)
-            both = np.flatnonzero(shared[part]) + at
-            # a block knows its keys: bits tell which of them follow, and those of its deleted texts follow all
-            mine = np.flatnonzero(less[part] > 0) + at
-            put(block, 0, own_part, np.packbits(shared[part]).tobytes(), planes((total + all_less)[back[both]]), 0, 0, 0)
-            put(block, 1, own_part, b"", planes(total[back[mine]]), 0, 0, 0)
-            at += n
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
-
-    totals = store(counted.groupBy("part").applyInArrow(add, "block int, kind int, part int, shared binary, counts binary, n_types long, n_tokens long, n_kept long"), "ngram-totals")
-    del counted
-    free_shuffles(spark)
-    types, n_tokens, n_kept = (x or 0 for x in totals.where("kind = -1").agg(F.sum("n_types"), F.sum("n_tokens"), F.sum("n_kept")).first())
-    floor = 1 / (types + 1)
-
-    def totals_of(given: pa.Table) -> tuple[list[tuple[int, bytes]], np.ndarray]:
-        """((part, bits) of a block's parts, totals), in the order of the block's keys."""
-        found = sorted(zip(*(given.column(c).to_pylist() for c in ("part", "shared", "counts")), strict=True))
-        return [x[:2] for x in found], _joined([unplanes(c, np.int64) for _, _, c in found], np.int64)
-
-    def estimate(key, table, given):
-        _, texts, _ = _split(table)
-        _, uni, bi, first = ngrams(texts)
-        _, place = np.unique(np.concatenate([uni, bi]), return_inverse=True)
-        _, total = totals_of(given)
-        word, pair = total[place[: len(uni)]], total[place[len(uni) :]]
-        seen = of_context(word, first)
-        cell = (bucket_of(seen) * STEPS + grid(pair / np.maximum(seen, 1))) * STEPS + grid(word / max(n_kept, 1))
-        cells, n = np.unique(cell, return_counts=True)
-        return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(n.astype(np.int64))})
-
-    learning = rows.where(F.col("fold") == DELETED).groupBy("block").cogroup(totals.where("kind = 1").groupBy("block"))
-    histogram = learning.applyInArrow(estimate, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    weights = expectation_maximisation([(c // STEPS**2, c // STEPS % STEPS, c % STEPS, n) for c, n in histogram], floor)
-
-    def score(key, table, given):
-        ids, texts, of = _split(table)
-        doc, uni, bi, first = ngrams(texts)
-        keys, place, train, less = block_counts(doc, uni, bi, of)
-        counts = train.astype(np.int64) + less
-        told, total = totals_of(given)
-        held = np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        shared = _joined([np.unpackbits(np.frombuffer(b, np.uint8), count=held[p]) for p, b in told], np.uint8).astype(bool)
-        if len(shared):
-            counts[shared] = total
-        word, pair = counts[place[: len(uni)]], counts[place[len(uni) :]]
-        seen = of_context(word, first)
-        w = weights[bucket_of(seen)]
-        p = w[:, 0] * pair / np.maximum(seen, 1) + w[:, 1] * word / max(n_tokens, 1) + w[:, 2] * floor
-        base = np.log10((word + 0.1) / (n_tokens + 0.1 * (types + 1)))
-        n = len(texts)
-        add = lambda x: np.bincount(doc, weights=x, minlength=n)
-        return pa.table({"doc_id": ids, "held_out": pa.array(of == HELD_OUT), "n_tokens": pa.array(np.bincount(doc, minlength=n).astype(np.int64)), "n_known": pa.array(add(word > 0).astype(np.int64)), "train_tokens": pa.array(np.full(n, n_tokens, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(p)))})
-
-    scoring = rows.groupBy("block").cogroup(totals.where("kind = 0").groupBy("block"))
-    return scoring.applyInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scratch = Scratch(docs.sparkSession)
+    met = scratch.store(count_ngrams(rows, size), "ngram-totals")
+    types, n_tokens, n_kept = (x or 0 for x in met.agg(F.sum("types"), F.sum("tokens"), F.sum("kept")).first())
+    weights, floor = learned(met, types, n_kept), 1 / (types + 1)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for about, places, width, words, pairs in zip(*batch.columns, strict=True):
+                told = pa.ipc.open_stream(about.as_py()).read_all()
+                sizes = told.column("size").to_numpy()
+                place, word, pair = unsqueeze(places.as_py(), np.uint32), unsqueeze(words.as_py(), "<u8"), unsqueeze(pairs.as_py(), "<u8")
+                context, last, of = pairs_of(place, sizes, width.as_py())
+                seen = word[context]
+                w = weights[bucket_of(seen)]
+                p = w[:, 0] * pair / np.maximum(seen, 1) + w[:, 1] * word[last] / max(n_tokens, 1) + w[:, 2] * floor
+                base = np.log10((word + 0.1) / (n_tokens + 0.1 * (types + 1)))
+                doc, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+                add = lambda x: np.bincount(doc, weights=x, minlength=n)  # noqa: B023, E731
+                held = pa.array(told.column("fold").to_numpy() == HELD_OUT)
+                out = [told.column("doc_id").combine_chunks(), held, pa.array(sizes), pa.array(add(word[place] > 0).astype(np.int64)), pa.array(np.full(n, n_tokens, np.int64)), pa.array(add(base[place])), pa.array(add(np.log10(p)[of]))]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    scoring = met.select("about", "places", "n_words", "word_counts", "pair_counts")
+    return scoring.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
