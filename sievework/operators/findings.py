@@ -1,27 +1,22 @@
-"""Findings: dedupe, correlation, calibration, ranking, thresholds and report aggregates."""
+"""Findings in a report: thresholds, ranks, groups and counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sievework.functions.scalars import band, band_rank
+from sievework.functions.scalars import band_rank
+from sievework.operators import ranges
 
 
-def dedupe_by_location(findings: DataFrame) -> DataFrame:
-    """One row per (cwe, repo, file, line): the highest confidence, then the least id; and how many met there.
+def best_by(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """One finding per key, the highest confidence, then the least id, and how many there were, as `merged`.
 
-    A partial aggregate before the shuffle, so a hot location moves one row a task.
+    Two hash aggregates before the join on id: a hot key moves two numbers a task.
     """
-    best = F.min(F.struct((-F.col("confidence")).alias("rank"), "id", "severity", "verified"))
-    return findings.groupBy("cwe", "repo", "file", "line").agg(best.alias("b"), F.count(F.lit(1)).alias("merged")).select("cwe", "repo", "file", "line", "b.id", (-F.col("b.rank")).alias("confidence"), "b.severity", "b.verified", "merged")
-
-
-def correlate(findings: DataFrame) -> DataFrame:
-    """id, cwe, repo, file, canonical_id: root-cause groups ignore the line; the canonical one has the most confidence."""
-    best = findings.groupBy("cwe", "repo", "file").agg(F.min(F.struct((-F.col("confidence")).alias("rank"), "id")).alias("b")).select("cwe", "repo", "file", F.col("b.id").alias("canonical_id"))
-    return findings.join(best, ["cwe", "repo", "file"]).select("id", "cwe", "repo", "file", "canonical_id")
+    most = findings.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("merged"))
+    least = findings.join(most, [*keys, "confidence"]).groupBy(*keys).agg(F.min("id").alias("id"), F.max("merged").alias("merged"))
+    return findings.join(least.select("id", "merged"), "id")
 
 
 def systemic(findings: DataFrame) -> DataFrame:
@@ -29,53 +24,25 @@ def systemic(findings: DataFrame) -> DataFrame:
     return findings.groupBy("cwe").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("repo").alias("repos"), F.min("id").alias("anchor_id")).where("findings > 1")
 
 
-def ceiling(findings: DataFrame) -> DataFrame:
-    """One row: what no unverified finding may exceed, a tenth below the least verified severity; null without any."""
-    return findings.agg(F.round(F.min(F.when(F.col("verified"), F.col("severity"))) - 0.1, 1).alias("ceiling"))
-
-
-def calibrate(findings: DataFrame) -> DataFrame:
-    """Caps unverified findings at the ceiling and at confidence 0.5, and bands what results; names the rule applied.
-
-    The ceiling is one row, so its broadcast has a fixed size and no window over all rows is needed.
-    """
-    open_ = ~F.col("verified") & ((F.col("severity") > F.col("ceiling")) | (F.col("confidence") > 0.5))
-    capped = findings.crossJoin(F.broadcast(ceiling(findings)))
-    severity = F.when(open_, F.least("severity", F.coalesce("ceiling", "severity"))).otherwise(F.col("severity"))
-    confidence = F.when(open_, F.least("confidence", F.lit(0.5))).otherwise(F.col("confidence"))
-    rule = F.when(open_, "plausible-unconfirmed-reachability").otherwise("")
-    out = capped.withColumns({"severity": severity, "confidence": confidence, "rule": rule}).drop("ceiling")
-    return out.withColumn("band", band(F.col("severity")))
-
-
-def admitted(findings: DataFrame, least_band: str = "medium", least_confidence: float = 0.5) -> DataFrame:
-    """The rows that report thresholds let through: the band is high enough, and verified or confident enough."""
+def admitted(findings: DataFrame, least_band: str = "Medium", least_confidence: float = 0.5) -> DataFrame:
+    """The rows that report thresholds let through: neither disproven nor rejected, the band high enough, and verified or
+    confident enough. status and verification may be missing."""
     rank = band_rank(F.lit(least_band))
-    return findings.where((band_rank(F.col("band")) >= rank) & (F.col("verified") | (F.col("confidence") >= least_confidence)))
+    out = findings.where((band_rank(F.col("band")) >= rank) & (F.col("verified") | (F.col("confidence") >= least_confidence)))
+    if "verification" in findings.columns:
+        out = out.where(F.coalesce("verification", F.lit("")) != "disproven")
+    return out.where(F.coalesce("status", F.lit("")) != "rejected") if "status" in findings.columns else out
 
 
 def ranked(findings: DataFrame) -> DataFrame:
-    """Rank within a band: verified first, then severity, confidence and id."""
-    order = Window.partitionBy("band").orderBy(F.desc("verified"), F.desc("severity"), F.desc("confidence"), "id")
-    return findings.withColumn("rank", F.row_number().over(order))
-
-
-def recommendations(findings: DataFrame, most: int = 8) -> DataFrame:
-    """The most frequent weaknesses: cwe, findings, bands."""
-    out = findings.groupBy("cwe").agg(F.count(F.lit(1)).alias("findings"), F.array_join(F.array_sort(F.collect_set("band")), ",").alias("bands"))
-    return out.orderBy(F.desc("findings"), "cwe").limit(most)
-
-
-def cross_system(findings: DataFrame) -> DataFrame:
-    """file, repos: places that more than one repository cites."""
-    return findings.groupBy("file").agg(F.countDistinct("repo").alias("repos")).where("repos > 1")
+    """Rank within a band: verified first, then severity, confidence and id; bands are few, so ranks go by ranges."""
+    return ranges.ranked(findings, ["band"], [F.desc("verified"), F.desc("severity"), F.desc("confidence"), F.col("id")])
 
 
 def executive_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("band").agg(F.count(F.lit(1)).alias("findings"), F.count_if("verified").alias("verified"), F.count_if(F.col("confidence") >= 0.8).alias("confident"))
 
 
-def repo_view(findings: DataFrame, repo: int) -> DataFrame:
-    """Findings of one repository, and of files that it shares with others."""
-    shared = findings.where(F.col("repo") == repo).select("file").distinct()
-    return findings.join(shared, "file", "left_semi")
+def grouped_by_band(findings: DataFrame) -> DataFrame:
+    """band, rank, id of all findings, most severe band first: the order of a report's sections."""
+    return ranked(findings).select("band", (-band_rank(F.col("band"))).alias("section"), "rank", "id")

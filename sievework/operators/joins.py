@@ -1,10 +1,9 @@
-"""Range, as-of, prefix and cascading joins."""
+"""Range and full outer joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def affected(components: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -13,32 +12,6 @@ def affected(components: DataFrame, advisories: DataFrame) -> DataFrame:
     return components.join(advisories, "package").where(inside)
 
 
-def longest_prefix(names: DataFrame, cycles: DataFrame) -> DataFrame:
-    """name, cycle: the longest cycle that equals the name or begins it before a blank; undetermined where none does.
-
-    A name's own prefixes are looked up by equality, so no name meets every cycle.
-    """
-    words = F.split("name", " ")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
-    met = names.select("name", F.explode(prefixes).alias("cycle")).join(cycles, "cycle", "left_semi")
-    best = met.groupBy("name").agg(F.max_by("cycle", F.length("cycle")).alias("cycle"))
-    return names.join(best, "name", "left").select("name", F.coalesce("cycle", F.lit("undetermined")).alias("cycle"))
-
-
-def following(points: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """Each point with the first target at or after it under the same key: one sort of the union, no range join."""
-    both = points.select(key, "at", "id", F.lit(None).cast("long").alias("target")).unionByName(targets.select(key, "at", F.lit(None).cast("long").alias("id"), F.col("id").alias("target")))
-    later = Window.partitionBy(key).orderBy(F.desc("at"), F.col("target").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("next", F.last("target", ignorenulls=True).over(later)).where("id is not null").select(key, "id", F.col("next").alias("target"))
-
-
-def crosscheck(findings: DataFrame, pins: DataFrame) -> DataFrame:
-    """Every finding with the ground that disproves it, if any: package-absent or version-outside-range."""
-    joined = findings.join(pins, "package", "left")
-    ground = F.when(F.col("version").isNull(), "package-absent").when(F.col("version") >= F.col("fixed"), "version-outside-range").otherwise("")
-    return joined.select("id", "package", ground.alias("ground"), F.when(ground == "", "kept").otherwise("suppressed").alias("disposition"))
-
-
 def changes(before: DataFrame, after: DataFrame, key: str, digest: str) -> DataFrame:
     """key, change: added, removed or modified, by a full outer join on the key."""
     a, b = before.select(key, F.col(digest).alias("x")), after.select(key, F.col(digest).alias("y"))

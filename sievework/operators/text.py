@@ -54,22 +54,30 @@ def rule_hits(lines: DataFrame) -> DataFrame:
     return lines.select("repo", "path", "line_no", F.inline(F.filter(rows, lambda x: x.isNotNull())))
 
 
-def entropy_candidates(files: DataFrame, length: int = 24, least: float = 3.0) -> DataFrame:
-    """path, candidate, bits: long words of high entropy, each once a file."""
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(f"([A-Za-z0-9+/_=-]{{{length},}})"), 1))
+def entropy_candidates(files: DataFrame, length: int = 24, least: float = 4.0) -> DataFrame:
+    """path, candidate, bits, secret: long words of a file, each once, their entropy, and whether it is that of a secret."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(f"([A-Za-z0-9+/=_-]{{{length},}})"), 1))
     found = files.select("path", F.explode(words).alias("candidate"))
-    return found.withColumn("bits", F.round(entropy(F.col("candidate")), 6)).where(F.col("bits") >= least)
-
-
-def identifier_shape(word: Column) -> Column:
-    return (
-        F.when(word.rlike("^[A-Z][a-z0-9]+([A-Z][a-z0-9]+)+$"), "pascal")
-        .when(word.rlike("^[a-z][a-z0-9]*([A-Z][a-z0-9]+)+$"), "camel")
-        .when(word.rlike("^[a-z0-9]+(-[a-z0-9]+)+$"), "kebab")
-        .when(word.rlike("^[a-z0-9]+(_[a-z0-9]+)+$"), "snake")
-        .when(word.rlike("^[a-z0-9]+([./][a-z0-9]+)+$"), "path")
-        .otherwise("plain")
-    )
+    return found.withColumn("bits", F.round(entropy(F.col("candidate")), 6)).withColumn("secret", F.col("bits") >= least)
+
+
+def must_find(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """item_id, files, found: which of a stated set of texts (item_id, wanted) occur verbatim in files (path, text).
+
+    A text that occurs brings along its inner words, whole: the longest of them is its anchor, by which it meets the words
+    of files, by equality. What meets is then compared in full. A text without an inner word has no anchor and is compared
+    with every file, in blocks.
+    """
+    inner = F.filter(F.slice(F.split("wanted", r"\s+"), F.lit(2), F.greatest(F.size(F.split("wanted", r"\s+")) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    sought = wanted.withColumn("anchor", F.when(F.size(inner) > 0, longest))
+    words = files.select("path", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("anchor"))
+    met = words.join(sought.where("anchor is not null"), "anchor").where(F.contains("text", F.col("wanted"))).select("item_id", "path")
+    bare = sought.where("anchor is null").select("item_id", "wanted")
+    if not bare.isEmpty():
+        met = met.unionByName(files.join(F.broadcast(bare), F.contains("text", F.col("wanted"))).select("item_id", "path"))  # texts of two words at most
+    counts = met.groupBy("item_id").agg(F.count(F.lit(1)).alias("files"))
+    return wanted.join(counts, "item_id", "left").select("item_id", F.coalesce("files", F.lit(0)).alias("files"), F.col("files").isNotNull().alias("found"))
 
 
 def token_totals(files: DataFrame) -> DataFrame:

@@ -7,35 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions.scalars import token_estimate
+from sievework.functions.scalars import identifier_shape, token_estimate
 from sievework.operators import findings as fo
-from sievework.operators import graph, joins, text
+from sievework.operators import flows, joins, ranges, reporting, text, verdicts
+from sievework.plans.registry import QUERIES, SQL, query
 from sievework.sources.tables import files, findings, table
 from sievework.streaming import windows
 
-#: Texts that one broadcast holds.
-BLOCK_ITEMS = 10_000
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from sievework.plans import model  # noqa: F401
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from sievework.plans import model  # noqa: F401
+
+    return dict(SQL)
 
 
 # ---- texts
@@ -43,7 +32,7 @@ def oracle_sql() -> dict[str, str]:
 _LINES = "lines AS (SELECT source AS repo, doc_id AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
 _RULES = "rules(label, cwe, severity, confidence, p) AS (VALUES " + ", ".join(f"('{a}', '{b}', CAST({c} AS DOUBLE), CAST({d} AS DOUBLE), '{e}')" for a, b, c, d, e in text.RULES) + ")"
 _HITS = f"{_LINES}, {_RULES}, hits AS (SELECT repo, path, line_no, label, cwe, severity, confidence, len(regexp_extract_all(line, p)) AS matches FROM lines, rules WHERE regexp_matches(line, p))"
-_BAND = "CASE WHEN severity >= 9 THEN 'critical' WHEN severity >= 7 THEN 'high' WHEN severity >= 4 THEN 'medium' WHEN severity >= 0.1 THEN 'low' ELSE 'info' END"
+_BAND = "CASE WHEN severity >= 9 THEN 'Critical' WHEN severity >= 7 THEN 'High' WHEN severity >= 4 THEN 'Medium' WHEN severity >= 0.1 THEN 'Low' ELSE 'None' END"
 
 
 def _document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,14 +54,14 @@ o AS (SELECT r.*, ceiling, NOT verified AND (coalesce(severity > ceiling, false)
 k AS (SELECT id, cwe, repo, file, line, verified, CASE WHEN o THEN least(severity, coalesce(ceiling, severity)) ELSE severity END AS severity, CASE WHEN o THEN least(confidence, 0.5) ELSE confidence END AS confidence FROM o),
 b AS (SELECT *, {_BAND} AS band FROM k)
 SELECT id, cwe, repo, file, line, severity, confidence, verified, band, row_number() OVER (PARTITION BY band ORDER BY verified DESC, severity DESC, confidence DESC, id) AS rank
-FROM b WHERE band <> 'info' AND (verified OR confidence >= 0.4)
+FROM b WHERE band <> 'None' AND (verified OR confidence >= 0.4)
 """)
 def q_ranked_findings(spark, sf_dir):
-    unique = fo.dedupe_by_location(_document_findings(spark, sf_dir)).drop("merged")
-    primary = fo.correlate(unique).where("id = canonical_id").select("id")
-    kept = fo.calibrate(unique.join(primary, "id", "left_semi")).drop("rule")
-    out = fo.ranked(fo.admitted(kept, "low", 0.4))
-    return out.select("id", "cwe", "repo", "file", "line", "severity", "confidence", "verified", "band", F.col("rank").cast("long").alias("rank"))
+    hits = flows.stored(_document_findings(spark, sf_dir))  # texts are read once, whatever follows
+    unique = flows.stored(fo.best_by(hits, ["cwe", "repo", "file", "line"]).drop("merged"))
+    kept = verdicts.calibrated(fo.best_by(unique, ["cwe", "repo", "file"]).drop("merged").withColumns({"gap": F.lit(""), "control": F.lit(""), "usage": F.lit("")}))
+    out = fo.ranked(fo.admitted(kept, "Low", 0.4))
+    return out.select("id", "cwe", "repo", "file", "line", "severity", "confidence", "verified", "band", "rank")
 
 
 @query("SELECT source AS repo, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages, count(*) AS files, CAST(sum(len(text) - len(replace(text, chr(10), '')) + 1) AS BIGINT) AS loc FROM documents GROUP BY source")
@@ -108,21 +97,23 @@ def q_rule_hits(spark, sf_dir):
     return text.rule_hits(text.lines(files(spark, sf_dir)))
 
 
-@query("SELECT DISTINCT path, candidate, round(entropy(string_split(candidate, '')), 6) AS bits FROM (SELECT doc_id AS path, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_=-]{24,}')) AS candidate FROM documents) WHERE round(list_entropy(string_split(candidate, '')), 6) >= 3.0".replace("round(entropy(", "round(list_entropy("))
+@query("SELECT DISTINCT path, candidate, round(list_entropy(string_split(candidate, '')), 6) AS bits, round(list_entropy(string_split(candidate, '')), 6) >= 4.0 AS secret FROM (SELECT doc_id AS path, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{24,}')) AS candidate FROM documents)")
 def q_entropy_candidates(spark, sf_dir):
     return text.entropy_candidates(files(spark, sf_dir))
 
 
 @query("""
+WITH w AS (SELECT unnest(regexp_extract_all(text, '[^ \n]+')) AS w FROM documents), p AS (SELECT w, list_filter(string_split(w, '/'), lambda x: x <> '') AS parts FROM w)
 SELECT shape, count(*) AS words FROM (
-  SELECT CASE WHEN regexp_matches(w, '^[A-Z][a-z0-9]+([A-Z][a-z0-9]+)+$') THEN 'pascal' WHEN regexp_matches(w, '^[a-z][a-z0-9]*([A-Z][a-z0-9]+)+$') THEN 'camel'
-    WHEN regexp_matches(w, '^[a-z0-9]+(-[a-z0-9]+)+$') THEN 'kebab' WHEN regexp_matches(w, '^[a-z0-9]+(_[a-z0-9]+)+$') THEN 'snake'
-    WHEN regexp_matches(w, '^[a-z0-9]+([./][a-z0-9]+)+$') THEN 'path' ELSE 'plain' END AS shape
-  FROM (SELECT unnest(regexp_extract_all(text, '[^ \n]+')) AS w FROM documents)) GROUP BY shape
+  SELECT CASE WHEN contains(w, '/') AND len(parts) > 0 AND len(list_filter(parts, lambda x: NOT (regexp_matches(x, '^[A-Za-z0-9][A-Za-z0-9._-]*$') AND NOT regexp_matches(x, '[A-Z]{4,}') AND (len(x) < 4 OR regexp_matches(x, '[a-z]'))))) = 0 THEN 'filesystem-path'
+    WHEN regexp_matches(w, '[A-Z]{4,}') AND NOT regexp_matches(w, '^[A-Za-z][A-Za-z0-9]*(?:[_-][A-Za-z][A-Za-z0-9]*){2,}$') THEN 'none'
+    WHEN regexp_matches(w, '^[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+){2,}$') THEN 'PascalCase' WHEN regexp_matches(w, '^[a-z][a-z0-9]+(?:[A-Z][a-z0-9]+){2,}$') THEN 'camelCase'
+    WHEN regexp_matches(w, '^[A-Za-z][A-Za-z0-9]*(?:[_-][A-Za-z][A-Za-z0-9]*){2,}$') THEN CASE WHEN contains(w, '-') THEN 'kebab-case' ELSE 'snake_case' END
+    WHEN regexp_matches(w, '^[@A-Za-z][A-Za-z0-9_.-]*(?:[./][A-Za-z0-9_.-]+)+$') THEN 'module-path' ELSE 'none' END AS shape FROM p) GROUP BY shape
 """)
 def q_identifier_shape(spark, sf_dir):
     words = files(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("([^ \n]+)"), 1)).alias("w"))
-    return words.groupBy(text.identifier_shape(F.col("w")).alias("shape")).agg(F.count(F.lit(1)).alias("words"))
+    return words.groupBy(F.coalesce(identifier_shape(F.col("w")), F.lit("none")).alias("shape")).agg(F.count(F.lit(1)).alias("words"))
 
 
 @query("SELECT source AS repo, count(*) FILTER (lang = 'en') AS searched, CASE WHEN coalesce(bool_or(lang = 'en' AND regexp_matches(text, 'License')), false) THEN 'evidenced' WHEN count(*) FILTER (lang = 'en') = 0 THEN 'undetermined' ELSE 'absent-proven' END AS state FROM documents GROUP BY source")
@@ -130,36 +121,9 @@ def q_absence_proof(spark, sf_dir):
     return text.absence(files(spark, sf_dir), "License", "en")
 
 
-@query("""
-WITH legs AS (SELECT source AS repo, 'secret' AS leg, CASE WHEN bool_or(regexp_matches(text, 'token = ')) THEN 'evidenced' ELSE 'absent-proven' END AS state FROM documents GROUP BY source
-  UNION ALL SELECT source, 'toxic', CASE WHEN count(toxic) = 0 THEN 'undetermined' WHEN bool_or(toxic = 1) THEN 'evidenced' ELSE 'absent-proven' END FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source
-  UNION ALL SELECT source, 'notice', CASE WHEN bool_or(regexp_matches(text, 'All rights reserved')) THEN 'control-present' ELSE 'absent-proven' END FROM documents GROUP BY source)
-SELECT repo, CAST(CASE WHEN bool_or(state = 'undetermined') THEN 0.5 ELSE 0.75 END AS DOUBLE) AS confidence, string_agg(leg || '=' || state, ',' ORDER BY leg) AS legs
-FROM legs GROUP BY repo HAVING NOT bool_or(state = 'control-present')
-""")
-def q_compound_tristate(spark, sf_dir):
-    rows = files(spark, sf_dir).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"), "toxic"), "path", "left")
-    state = lambda cond, yes: F.when(F.bool_or(cond), yes).otherwise("absent-proven")
-    by = rows.groupBy("repo").agg(
-        state(F.col("text").rlike("token = "), "evidenced").alias("secret"),
-        F.when(F.count("toxic") == 0, "undetermined").otherwise(state(F.col("toxic") == 1, "evidenced")).alias("toxic"),
-        state(F.col("text").rlike("All rights reserved"), "control-present").alias("notice"),
-    )
-    legs = by.where("notice <> 'control-present'")
-    confidence = F.when(F.col("toxic") == "undetermined", 0.5).otherwise(0.75)
-    return legs.select("repo", confidence.alias("confidence"), F.concat(F.lit("notice="), "notice", F.lit(",secret="), "secret", F.lit(",toxic="), "toxic").alias("legs"))
-
-
 @query("SELECT item_id, count(doc_id) AS files, count(doc_id) > 0 AS found FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def q_must_find(spark, sf_dir):
-    """Which of a stated set of texts occur verbatim; the set is searched in blocks of about BLOCK_ITEMS, each broadcast."""
-    wanted = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("wanted"))
-    blocks, found = max(1, -(-wanted.count() // BLOCK_ITEMS)), None
-    for b in range(blocks):
-        block = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        hits = files(spark, sf_dir).join(F.broadcast(block), F.contains(F.col("text"), F.col("wanted"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("files"))
-        found = hits if found is None else found.unionByName(hits)
-    return wanted.join(found, "item_id", "left").select("item_id", F.coalesce("files", F.lit(0)).alias("files"), F.col("files").isNotNull().alias("found"))
+    return text.must_find(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("wanted")), files(spark, sf_dir))
 
 
 # ---- findings
@@ -167,18 +131,12 @@ def q_must_find(spark, sf_dir):
 _F = "f AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag || l_linestatus AS cwe, l_suppkey AS repo, l_partkey AS file, l_linenumber AS line, round(least(10.0, l_quantity / 5), 1) AS severity, round(1 - l_discount * 5, 2) AS confidence, l_tax >= 0.04 AS verified FROM lineitem)"
 _CAL = f"""{_F}, c AS (SELECT round(min(severity) FILTER (verified) - 0.1, 1) AS ceiling FROM f),
 o AS (SELECT f.*, ceiling, NOT verified AND (coalesce(severity > ceiling, false) OR confidence > 0.5) AS o FROM f, c),
-k0 AS (SELECT id, cwe, repo, file, line, verified, CASE WHEN o THEN least(severity, coalesce(ceiling, severity)) ELSE severity END AS severity, CASE WHEN o THEN least(confidence, 0.5) ELSE confidence END AS confidence, CASE WHEN o THEN 'plausible-unconfirmed-reachability' ELSE '' END AS rule FROM o),
+k0 AS (SELECT id, cwe, repo, file, line, verified, round(CASE WHEN o THEN least(severity, coalesce(ceiling, severity)) ELSE severity END, 1) AS severity, round(CASE WHEN o THEN least(confidence, 0.5) ELSE confidence END, 2) AS confidence FROM o),
 k AS (SELECT *, {_BAND} AS band FROM k0)"""
 
 
-@query(f"WITH {_F} SELECT cwe, repo, file, line, arg_min(id, (-confidence, id)) AS id, max(confidence) AS confidence, count(*) AS merged FROM f GROUP BY cwe, repo, file, line")
-def q_dedupe_location(spark, sf_dir):
-    return fo.dedupe_by_location(findings(spark, sf_dir)).drop("severity", "verified")
-
-
-@query(f"WITH {_F} SELECT id, cwe, repo, file, first_value(id) OVER (PARTITION BY cwe, repo, file ORDER BY confidence DESC, id) AS canonical_id FROM f")
-def q_correlate_root_cause(spark, sf_dir):
-    return fo.correlate(findings(spark, sf_dir))
+def _calibrated(spark, sf_dir) -> DataFrame:
+    return verdicts.calibrated(findings(spark, sf_dir).withColumns({"gap": F.lit(""), "control": F.lit(""), "usage": F.lit("")}))
 
 
 @query(f"WITH {_F} SELECT cwe, count(*) AS findings, count(DISTINCT repo) AS repos, min(id) AS anchor_id FROM f GROUP BY cwe HAVING count(*) > 1")
@@ -186,29 +144,22 @@ def q_systemic_groups(spark, sf_dir):
     return fo.systemic(findings(spark, sf_dir))
 
 
-@query(f"WITH {_CAL} SELECT id, cwe, repo, file, line, severity, confidence, verified, rule, band FROM k")
-def q_calibrate(spark, sf_dir):
-    return fo.calibrate(findings(spark, sf_dir))
-
-
 @query(f"WITH {_CAL} SELECT band, count(*) AS findings, count(*) FILTER (verified) AS verified, count(*) FILTER (confidence >= 0.8) AS confident FROM k WHERE severity >= 4 AND (verified OR confidence >= 0.5) GROUP BY band")
 def q_report_bands(spark, sf_dir):
-    return fo.executive_counts(fo.admitted(fo.calibrate(findings(spark, sf_dir))))
+    return fo.executive_counts(fo.admitted(_calibrated(spark, sf_dir)))
 
 
-@query(f"WITH {_CAL} SELECT cwe, count(*) AS findings, string_agg(DISTINCT band, ',' ORDER BY band) AS bands FROM k GROUP BY cwe ORDER BY findings DESC, cwe LIMIT 8")
+@query(f"WITH {_CAL} SELECT cwe, count(*) AS findings, array_to_string(list_filter(['Critical', 'High', 'Medium', 'Low', 'None'], lambda b: list_contains(list(band), b)), ',') AS bands FROM k GROUP BY cwe ORDER BY findings DESC, cwe LIMIT 8")
 def q_recommendations_top8(spark, sf_dir):
-    return fo.recommendations(fo.calibrate(findings(spark, sf_dir)))
-
-
-@query(f"WITH {_F} SELECT file, count(DISTINCT repo) AS repos FROM f GROUP BY file HAVING count(DISTINCT repo) > 1")
-def q_cross_system(spark, sf_dir):
-    return fo.cross_system(findings(spark, sf_dir))
+    return reporting.recommendations(_calibrated(spark, sf_dir))
 
 
-@query(f"WITH {_F} SELECT * FROM f WHERE file IN (SELECT file FROM f WHERE repo = 1)")
+@query("WITH f AS (SELECT o_orderkey AS id, c_nationkey AS repo, o_totalprice AS total FROM orders JOIN customer ON c_custkey = o_custkey) SELECT id, repo FROM f WHERE repo = 1 OR id IN (SELECT l_orderkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = 1)")
 def q_repo_view(spark, sf_dir):
-    return fo.repo_view(findings(spark, sf_dir), 1)
+    """Orders are findings in the customer's nation, their lines the evidence, in the supplier's."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("repo"))
+    line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("id"), F.col("s_nationkey").alias("repo"))
+    return reporting.repo_view(orders, line, 1)
 
 
 # ---- joins
@@ -224,35 +175,6 @@ def q_version_range_join(spark, sf_dir):
     return joins.affected(components, advisories).select("component", "package", "version", "introduced", "fixed")
 
 
-@query("""
-WITH n AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT DISTINCT array_to_string(string_split(p_name, ' ')[1:1], ' ') AS cycle FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 5 = 0)
-SELECT name, coalesce(arg_max(cycle, len(cycle)), 'undetermined') AS cycle FROM n LEFT JOIN c ON name = cycle OR starts_with(name, cycle || ' ') GROUP BY name
-""")
-def q_longest_prefix_cycle(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    cycles = part.where("p_partkey % 2 = 0").select(F.split("p_name", " ")[0].alias("cycle")).union(part.where("p_partkey % 5 = 0").select("p_name")).distinct()
-    return joins.longest_prefix(part.select(F.col("p_name").alias("name")).distinct(), cycles)
-
-
-@query("""
-SELECT v.user_id, v.event_id AS id, (SELECT arg_min(p.event_id, (p.ts, p.event_id)) FROM events p WHERE p.user_id = v.user_id AND p.event_type = 'purchase' AND p.ts >= v.ts) AS target FROM events v WHERE v.event_type = 'view'
-""")
-def q_following_symbol(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    of = lambda kind: events.where(F.col("event_type") == kind).select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("id"))
-    return joins.following(of("view"), of("purchase"), "user_id")
-
-
-@query("""
-WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS package, CAST(l_quantity AS INTEGER) AS fixed FROM lineitem), p AS (SELECT p_partkey AS package, p_size AS version FROM part WHERE p_partkey % 3 <> 0)
-SELECT id, package, CASE WHEN version IS NULL THEN 'package-absent' WHEN version >= fixed THEN 'version-outside-range' ELSE '' END AS ground, CASE WHEN version IS NOT NULL AND version < fixed THEN 'kept' ELSE 'suppressed' END AS disposition FROM f LEFT JOIN p USING (package)
-""")
-def q_crosscheck_split(spark, sf_dir):
-    found = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("package"), F.col("l_quantity").cast("int").alias("fixed"))
-    pins = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("package"), F.col("p_size").alias("version"))
-    return joins.crosscheck(found, pins)
-
-
 @query("""
 WITH a AS (SELECT doc_id, sha256(text) AS x FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS y FROM documents WHERE doc_id % 11 <> 0)
 SELECT * FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' WHEN x <> y THEN 'modified' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id) WHERE change IS NOT NULL
@@ -267,52 +189,19 @@ def q_change_set(spark, sf_dir):
 
 # ---- graph
 
-_EDGES = "e AS (SELECT DISTINCT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT DISTINCT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem)"
-
-
-def _edges(spark, sf_dir) -> DataFrame:
-    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    pairs = (("nation", "r", "n_regionkey", "n", "n_nationkey"), ("supplier", "n", "s_nationkey", "s", "s_suppkey"), ("lineitem", "s", "l_suppkey", "p", "l_partkey"))
-    every = None
-    for name, a, x, b, y in pairs:
-        part = table(spark, sf_dir, name).select(node(a, x).alias("src"), node(b, y).alias("dst"))
-        every = part if every is None else every.unionByName(part)
-    return every.distinct()
-
-
-@query(f"""
-WITH {_EDGES}, sinks AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size >= 45),
-seen AS (SELECT 'r' || r_regionkey AS source, 'n' || n_nationkey AS n, 's' || s_suppkey AS s FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey),
-w AS (SELECT source, dst AS sink, source || '>' || n || '>' || s || '>' || dst AS path FROM seen JOIN e ON e.src = s JOIN sinks ON sinks.node = dst)
-SELECT source, sink, path FROM w QUALIFY row_number() OVER (PARTITION BY source ORDER BY sink, path) <= 8
-""")
-def q_bfs_flows(spark, sf_dir):
-    sources = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
-    sinks = table(spark, sf_dir, "part").where("p_size >= 45").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
-    return graph.bounded_flows(_edges(spark, sf_dir), sources, sinks)
-
-
-_LINKS = "l AS (SELECT DISTINCT s.s_nationkey AS src, c.c_nationkey AS dst FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN customer c ON c.c_custkey = o.o_custkey WHERE l.l_quantity >= 49 AND l.l_discount >= 0.09)"
+_LINKS = "l AS (SELECT DISTINCT s.s_nationkey AS src, c.c_nationkey AS dst FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN customer c ON c.c_custkey = o.o_custkey)"
 
 
 @query(f"WITH RECURSIVE {_LINKS}, r(origin, member) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT origin, dst FROM r JOIN l ON l.src = member) SELECT origin, member FROM r")
 def q_reachable_members(spark, sf_dir):
-    lineitem = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_discount >= 0.09")
+    lineitem = table(spark, sf_dir, "lineitem")
     links = (
         lineitem.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst"))
     )
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/sievework-checkpoints"))
-    return graph.closure(links.distinct().checkpoint(), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")))
-
-
-@query("SELECT (SELECT count(*) FROM customer) AS endpoints, (SELECT count(DISTINCT o_custkey) FROM orders) AS reached, (SELECT count(*) FROM customer) - (SELECT count(DISTINCT o_custkey) FROM orders) AS gap")
-def q_reachability_gap(spark, sf_dir):
-    reached = table(spark, sf_dir, "orders").agg(F.countDistinct("o_custkey").alias("reached"))
-    return table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("endpoints")).crossJoin(reached).withColumn("gap", F.col("endpoints") - F.col("reached"))
+    return flows.closure(flows.stored(links.distinct()), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")))
 
 
 @query("SELECT c_custkey AS node FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
@@ -326,11 +215,8 @@ def q_unattached_guard(spark, sf_dir):
 @query("SELECT source AS repo, doc_id AS path, t AS tokens FROM (SELECT source, doc_id, t, sum(t) OVER (PARTITION BY source ORDER BY t, doc_id DESC ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT source, doc_id, CAST(CASE WHEN len(text) = 0 THEN 0 ELSE floor(len(text) / 3.5) + 1 END AS BIGINT) AS t FROM documents)) WHERE run <= 12000")
 def q_trim_to_budget(spark, sf_dir):
     """Drops whole files, largest first and the least path first on ties, until a repository fits 12,000 tokens."""
-    from pyspark.sql.window import Window
-
     sized = files(spark, sf_dir).select("repo", "path", token_estimate(F.col("text")).alias("tokens"))
-    run = F.sum("tokens").over(Window.partitionBy("repo").orderBy("tokens", F.desc("path")).rowsBetween(Window.unboundedPreceding, 0))
-    return sized.withColumn("run", run).where("run <= 12000").drop("run")
+    return ranges.cumulative(sized, ["repo"], [F.col("tokens"), F.desc("path")], F.col("tokens"), "run").where("run <= 12000").drop("run")
 
 
 @query("SELECT source AS repo, lang AS module, count(*) AS files, CAST(sum(CASE WHEN len(text) = 0 THEN 0 ELSE floor(len(text) / 3.5) + 1 END) AS BIGINT) AS tokens, bool_or(contains(text, 'token')) AS sensitive FROM documents GROUP BY ALL")
@@ -360,20 +246,6 @@ def q_endpoint_routes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("GET "), F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)?", 1)).alias("route"))
 
 
-@query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'undetermined' WHEN toxic = 1 THEN 'verified' WHEN quality = 0 THEN 'plausible' ELSE 'disproven' END AS verdict FROM documents LEFT JOIN labels USING (doc_id)")
-def q_verdict(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("quality").isNull(), "undetermined").when(F.col("toxic") == 1, "verified").when(F.col("quality") == 0, "plausible").otherwise("disproven").alias("verdict"))
-
-
-@query("SELECT conv_id, max(CASE WHEN role = 'user' THEN turn END) AS asked, max(CASE WHEN role = 'assistant' THEN turn END) AS answered, CASE WHEN max(CASE WHEN role = 'assistant' THEN turn END) IS NULL THEN 'unanswered' WHEN max(CASE WHEN role = 'assistant' THEN turn END) > coalesce(max(CASE WHEN role = 'user' THEN turn END), -1) THEN 'applied' ELSE 'rejected-malformed' END AS outcome FROM conversations GROUP BY conv_id")
-def q_triage_outcomes(spark, sf_dir):
-    last = lambda role: F.max(F.when(F.col("role") == role, F.col("turn")))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(last("user").alias("asked"), last("assistant").alias("answered"))
-    outcome = F.when(F.col("answered").isNull(), "unanswered").when(F.col("answered") > F.coalesce("asked", F.lit(-1)), "applied").otherwise("rejected-malformed")
-    return rows.withColumn("outcome", outcome)
-
-
 # ---- events
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS tier, count(*) AS events, round(sum(value), 4) AS value, grouping(event_type) * 2 + grouping(tier) AS level FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS tier FROM events) GROUP BY GROUPING SETS ((event_type), (tier), ())".replace("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS tier, count", "SELECT event_type, tier, count"))
