@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few numbers that a join may broadcast: counted before, 32 MB at the most. Beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Narrow rows that a stored file aims at.
+FILE_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +61,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
+    def store(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: how many there are at most, where that is known and what makes them is light: few of them are few files."""
         path, schema = scratch_path(self.spark, name), df.schema
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out

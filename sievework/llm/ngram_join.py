@@ -471,9 +471,9 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
     total, n_bytes = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     described = scratch.store(prefixes_by_frequency(rows, n_bytes or 1, size, num, den), "described")
     sets = described.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.store(sets.groupBy("sign").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
+    classes = scratch.store(sets.groupBy("sign").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes", rows=total)
     prefixed = sets.where("prefix is not null").groupBy("sign").agg(F.first("prefix").alias("prefix")).join(classes, "sign").select("rep", "sign", "n", "prefix")
-    prefixed = scratch.store(prefixed, "prefixed")
+    prefixed = scratch.store(prefixed, "prefixed", rows=total)
     n_entries = prefixed.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     bits = part_bits(2 * n_entries, ENTRY_BYTES)
     limit = int(code_of(np.array([COMMON]))[0])
@@ -511,9 +511,9 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
     met = packed.where("part >= 0").groupBy("part").applyInArrow(meet, "a long, b long")
     met = met.unionByName(packed.where("part < 0").select("docs", "keys").mapInArrow(unpack, "a long, b long"))
     found = components(met)
-    members = scratch.store(prefixed.select("rep", "sign", "n").join(found.withColumnRenamed("node", "rep"), "rep"), "members")
+    members = scratch.store(prefixed.select("rep", "sign", "n").join(found.withColumnRenamed("node", "rep"), "rep"), "members", rows=total)
     sized = members.groupBy("root").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = scratch.store(members.join(sized, "root"), "members-sized")
+    members = scratch.store(members.join(sized, "root"), "members-sized", rows=total)
     n_members, n_grams = members.agg(F.count(F.lit(1)), F.sum("n")).first()
     units = max(1, math.ceil((n_grams or 0) / UNIT))
     dealt = members.where(F.col("total") <= MOST).select("rep", "sign", F.pmod(F.xxhash64("root"), F.lit(units)).alias("unit"), F.lit(False).alias("stars"), F.lit(0.0).alias("radius"))
@@ -523,16 +523,16 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
         links = links.unionByName(settle_large(rows, large, scratch, size, num, den))
     # rows of one id join what each of them is linked with
     several = described.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("sign")).alias("x"), F.max(F.xxhash64("sign")).alias("y")).where("x <> y").select("doc_id")
-    several = scratch.store(several, "several")
+    several = scratch.store(several, "several", rows=total)
     many = not several.isEmpty()
     if many:
         theirs = described.join(several, "doc_id").join(classes.select("sign", "rep"), "sign", "left")
         links = links.unionByName(theirs.where("rep is not null and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     joins = components(links)
     least = joins.groupBy("root").agg(F.min("node").alias("component_id"))
-    named = scratch.store(joins.join(least, "root").select(F.col("node").alias("rep"), "component_id"), "named")
+    named = scratch.store(joins.join(least, "root").select(F.col("node").alias("rep"), "component_id"), "named", rows=total)
     names = classes.join(named, "rep", "left").select("sign", "copies", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("component_id", "rep") != F.col("rep")).alias("moved"))
-    names = scratch.store(names.where("copies > 1 or moved").select("sign", "copies", "component_id"), "names")
+    names = scratch.store(names.where("copies > 1 or moved").select("sign", "copies", "component_id"), "names", rows=total)
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     out = lookup_join(described.where(linked).select("doc_id", "n_shingles", "sign"), names, "sign", "copies", total)
     out = out.unionByName(described.where(~linked).select("doc_id", "n_shingles", "sign", F.lit(None).cast("long").alias("copies"), F.lit(None).cast("long").alias("component_id")))
@@ -540,6 +540,6 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
         out = out.join(several.join(named.withColumnRenamed("rep", "doc_id").withColumnRenamed("component_id", "of_id"), "doc_id"), "doc_id", "left")
         out = out.withColumn("component_id", F.coalesce("of_id", "component_id"))
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = scratch.store(out, "joined")
+    out = scratch.store(out, "joined", rows=total)
     scratch.close(out)
     return out
