@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import store, table
-from sievework.llm.decontamination import contamination, find_benchmark
+from sievework.llm.common import small_side, store, table
+from sievework.llm.decontamination import drop_contaminated
 from sievework.llm.exact_dedup import drop_duplicates
 from sievework.llm.ngram_join import ngram_join
 from sievework.llm.packing import pack_documents
 from sievework.llm.quality import keep_quality
 from sievework.llm.queries import tokenizer_path
 
-#: No SQL expresses the classifier or the packing; tests compare both, and the whole, with brute force.
+#: No SQL expresses the classifier or the packing; tests run the whole on a small fixture and compare it with plain Python.
 ORACLE_SQL = None
 
 
@@ -31,18 +31,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links join the one with the least id stays; shingles of five words, similarity 0.8 or more."""
     found = ngram_join(docs, size=5, num=80, den=100)
     gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which benchmark windows cover a twentieth or more."""
-    found = contamination(find_benchmark(docs, table(spark, sf_dir, "benchmark")))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece in sequences of 4096 tokens."""
-    return pack_documents(docs, tokenizer_path(), 4096)[1]
+    return pack_documents(docs, tokenizer_path(), 4096)[1].drop("task", "nth")
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("benchmark decontamination", decontaminated), ("best-fit packing", packed)]
