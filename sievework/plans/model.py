@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import redaction
 from sievework.functions.scalars import token_estimate
-from sievework.operators import budgets, code_graph, dependencies, flows, locate, reporting, rules, verdicts
+from sievework.operators import budgets, business, code_graph, dependencies, flows, locate, reporting, rules, verdicts
 from sievework.plans.registry import query
 from sievework.sources.tables import files, table
 from sievework.streaming import ledgers
@@ -206,6 +206,32 @@ def q_reachability_gap(spark, sf_dir):
     return flows.reachability(nodes, shipped, by="region", groups=table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region")))
 
 
+@query(None)
+def q_business_flow(spark, sf_dir):
+    """No SQL: a journey's steps depend on those before. Regions are members, nations their entry points, suppliers what these
+    call, kinds of parts their stores; a region's file calls out to the others, and an integration joins some of them."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.lower("r_name").alias("repo"), "n_nationkey", "n_name")
+    none, marks = F.lit(None).cast("string"), lambda *ms: F.array(*map(F.lit, ms)).cast("array<string>")
+    hosts = F.array().cast("array<string>")
+    point = lambda c: F.concat("repo", F.lit(":app#@GET /"), F.col(c))
+    shape = lambda df, id_, kind, route, m, h: df.select(id_.alias("id"), "repo", F.lit("<datastore>" if kind == "datastore" else "app").alias("path"), F.lit(kind).alias("type"), route.alias("route"), m.alias("annotations"), h.alias("outbound_hosts"))
+    suppliers = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    supplier = F.concat("repo", F.lit(":app#"), F.col("s_name"))
+    repos = nation.select("repo").distinct()
+    others = F.transform(F.array(*map(F.lit, ("africa", "america", "asia", "europe", "middle east", "third.example"))), lambda h: F.concat(h, F.lit(".internal")))
+    nodes = shape(nation, point("n_name"), "endpoint", F.concat(F.lit("GET /"), "n_name"), marks("trust_boundary", "user_controlled_input"), hosts)
+    nodes = nodes.unionByName(shape(suppliers, supplier, "function", none, F.when(F.col("s_acctbal") > 5000, marks("authentication_required")).otherwise(marks()), hosts))
+    nodes = nodes.unionByName(shape(repos, F.concat("repo", F.lit(":app")), "file", none, marks(), others))
+    bought = table(spark, sf_dir, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+    kinds = bought.select("repo", "s_name", "p_type").distinct()
+    held = F.concat("repo", F.lit(":<datastore>#"), F.col("p_type"))
+    nodes = nodes.unionByName(shape(kinds.select("repo", "p_type").distinct(), held, "datastore", none, marks("security_sink"), hosts))
+    edges = suppliers.select(point("n_name").alias("src"), supplier.alias("dst"), F.lit("handler").alias("type")).unionByName(kinds.select(supplier.alias("src"), held.alias("dst"), F.lit("reads").alias("type")))
+    links = repos.where("repo < 'b'").select(F.col("repo").alias("from_repo"), F.lit("europe").alias("to_repo"), F.lit("http").alias("type"), hosts.alias("endpoints"))
+    found = business.business_flows(nodes, edges, repos, links, "tpch")
+    return found.select("flow_id", "root", "actor", "determination", F.size("steps").alias("n_steps"), F.array_join(F.transform("steps", lambda x: x["operation"]), ",").alias("operations"), F.array_join("gap_reasons", ",").alias("gap_reasons"))
+
+
 # ---- secrets
 
 
