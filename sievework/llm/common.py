@@ -17,7 +17,16 @@ BROADCAST_ROWS = 1_000_000
 FILE_ROWS = 100_000
 
 
+#: Rows of whole texts that Spark's reader and Arrow hold at once, where the session has Spark's own numbers, which are made
+#: for narrow rows: thousands of texts are tens of MB a task, in one piece each.
+LONG_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "256"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000")}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; the session is set to batches for long rows, unless it has numbers of its own."""
+    for key, (usual, ours) in LONG_ROWS.items():
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, ours)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -91,17 +100,20 @@ def crc_of_id(doc_id: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, column: str = "text", rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that one slice holds about `most` bytes of `column`, however long single rows are, and `rows` rows at most."""
+    """Cuts and joins Arrow batches so that a slice holds about `most` bytes of `column`, however long single rows are and
+    however many batches it takes, and `rows` rows at most."""
+    held: list[pa.RecordBatch] = []
+    size = n = 0
     for batch in batches:
-        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
-        start = held = 0
-        for i, n in enumerate(sizes):
-            if i > start and (held + n > most or i - start >= rows):
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += n
-        if start < batch.num_rows:
-            yield batch.slice(start)
+        start = 0
+        for i, length in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+            if n and (size + length > most or n >= rows):
+                yield pa.concat_batches([*held, batch.slice(start, i - start)])
+                held, size, n, start = [], 0, 0, i
+            size, n = size + length, n + 1
+        held.append(batch.slice(start))
+    if n:
+        yield pa.concat_batches(held)
 
 
 _CODEC = pa.Codec("zstd", 1)

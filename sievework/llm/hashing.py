@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker remembers; others are hashed again.
-MOST_WORDS = 150_000
+MOST_WORDS = 100_000
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line end
 
 

@@ -17,7 +17,7 @@ from sievework.llm.components import components
 from sievework.llm.hashing import hash_words, shingles
 
 #: Bytes of text that are counted together, of n-grams in a part, and of prefix entries in a part.
-HOME_BYTES, PART_BYTES, ENTRY_BYTES = 6 << 20, 8 << 20, 8 << 20
+HOME_BYTES, PART_BYTES, ENTRY_BYTES = 4 << 20, 8 << 20, 8 << 20
 #: N-grams that a unit of the exact end aims at, and that it holds at the most.
 UNIT, MOST = 1 << 19, 1 << 22
 #: Frequencies are told apart up to EXACT documents, by quarters of a power of two beyond; common n-grams meet at nodes.
@@ -490,26 +490,22 @@ def ngram_join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, id
             order = np.flatnonzero(rare)[np.argsort(part[rare], kind="stable")]
             cuts = np.searchsorted(part[order], np.arange((1 << bits) + 1, dtype=np.uint64))
             out = [(p, key[x].tobytes(), doc[x].astype("<i8").tobytes(), n[x].astype("<i4").tobytes(), place[x].tobytes()) for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < z for x in [order[a:z]]]
+            out = [(*row, None) for row in out]
             nodes = [(d, hash_of(int(g), size_class(int(m), num, den) - less)) for d, g, m in zip(doc[~rare].tolist(), key[~rare].tolist(), n[~rare].tolist(), strict=True) for less in (0, 1)]
             if nodes:
                 pairs = forest(*np.array(nodes, np.int64).T)
-                out.append((-1, np.ascontiguousarray(pairs[:, 1]).tobytes(), np.ascontiguousarray(pairs[:, 0]).tobytes(), b"", b""))
-            yield _table(["part", "keys", "docs", "sizes", "places"], [_INT, *[_BYTES] * 4], out)
+                out.append((-1, *[None] * 4, [{"a": a, "b": b} for a, b in pairs.tolist()]))
+            yield _table(["part", "keys", "docs", "sizes", "places", "edges"], [_INT, *[_BYTES] * 4, pa.list_(pa.struct([("a", _LONG), ("b", _LONG)]))], out)
 
-    packed = prefixed.mapInArrow(entries, "part int, keys binary, docs binary, sizes binary, places binary")
+    packed = prefixed.mapInArrow(entries, "part int, keys binary, docs binary, sizes binary, places binary, edges array<struct<a:long,b:long>>")
     read = lambda table, column, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(column)), kind).astype(kind[1:])
 
     def meet(key, table):
         edges = candidate_edges(read(table, "keys", "<u8"), read(table, "docs", "<i8"), read(table, "sizes", "<i4").astype(np.int64), read(table, "places", "<i4").astype(np.int64), num, den)
         return pa.table({"a": pa.array(edges[:, 0], _LONG), "b": pa.array(edges[:, 1], _LONG)})
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), "<i8")) for x in (a, b)], ["a", "b"])
-
-    met = packed.where("part >= 0").groupBy("part").applyInArrow(meet, "a long, b long")
-    met = met.unionByName(packed.where("part < 0").select("docs", "keys").mapInArrow(unpack, "a long, b long"))
+    met = packed.where("part >= 0").drop("edges").groupBy("part").applyInArrow(meet, "a long, b long")
+    met = met.unionByName(packed.where("part < 0").select(F.inline("edges")))
     found = components(met)
     members = scratch.store(prefixed.select("rep", "sign", "n").join(found.withColumnRenamed("node", "rep"), "rep"), "members", rows=total)
     sized = members.groupBy("root").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")).where("m > 1")

@@ -7,7 +7,7 @@ import re
 import struct
 
 #: Pieces that a worker remembers; rarer ones are encoded again. A bound on memory, not on results.
-MOST_PIECES = 600_000
+MOST_PIECES = 250_000
 END_ID = 1
 SAMPLE = "It's the Élève's über-große Straße, 42% of (x+y)=z; niño's 'tis we'll DON'T... á été 中文 İx ~til__und#er https://a.b/c?d=e ÿß×÷ K Å ẞ\n\tEnd."
 

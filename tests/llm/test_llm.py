@@ -230,15 +230,3 @@ def test_classifiers(spark, docs, empty):
     assert score_quality(docs, none).count() == toxicity.score_toxicity(docs, none).count() == len(ROWS)
     assert score_quality(empty, labels).count() == toxicity.score_toxicity(empty, labels).count() == 0
     assert fit_trees(np.zeros((0, 28)), np.zeros(0)).predict(np.zeros((2, 28))).tolist() == [0.5, 0.5]
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = docs.limit(60)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, kept, sf)
-        assert out.columns == docs.columns, name
-        assert out.count() <= kept.count()
