@@ -33,37 +33,32 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def _least(flows: DataFrame, per_source: int) -> DataFrame:
-    """The per_source least (sink, path) of each source, by a top list that each task and each round keeps small."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct("sink", "path"))), 1, per_source)
-    # two levels: part lists of a bounded number of rows first, so that no task sorts all flows of a source
-    dealt = flows.withColumn("part", F.pmod(F.xxhash64("sink", "path"), F.lit(256)))
-    parts = dealt.groupBy("source", "part").agg(best.alias("b")).select("source", F.inline("b"))
-    return parts.groupBy("source").agg(best.alias("b")).select("source", F.inline("b"))
+    """The per_source least (sink, path) of each source: tasks keep as many of theirs before anything is exchanged."""
+    order = Window.partitionBy("source").orderBy("sink", "path")
+    return flows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_source).drop("__n")
 
 
 def bounded_flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, most_nodes: int = MOST_NODES, per_source: int = PER_SOURCE) -> DataFrame:
     """source, sink, path (array of nodes): flows found breadth first, with one visited set a source.
 
     A node that is no sink is expanded once, along the path that found it first (parents in the order they were found,
-    targets ascending); a sink ends a path, is never visited, and may end several. A path of more than most_nodes nodes is
-    not carried on. The per_source least (sink, path) of a source stay, paths compared node by node; edges that repeat
-    count once. Rounds are joins of the frontier with edges; visited nodes go by an anti-join, and each round cuts lineage
-    by one checkpoint(), after flows beyond the bound are gone.
+    targets ascending); among paths of one length that is the least, node by node. A sink ends a path, is never visited,
+    and may end several. A path of more than most_nodes nodes is not carried on. The per_source least (sink, path) of a
+    source stay; edges that repeat count once. Rounds are joins of the frontier with edges; visited nodes go by an
+    anti-join, and each round cuts lineage by one checkpoint(), after flows beyond the bound are gone.
     """
     checkpoints(edges.sparkSession)
     ends = sinks.select(F.col("node").alias("dst"), F.lit(True).alias("ends")).distinct()
-    steps = edges.select("src", "dst").distinct().join(ends, "dst", "left").select("src", "dst", F.coalesce("ends", F.lit(False)).alias("ends"))
+    steps = stored(edges.select("src", "dst").distinct().join(ends, "dst", "left").select("src", "dst", F.coalesce("ends", F.lit(False)).alias("ends")))
     start = sources.select(F.col("node").alias("source")).distinct()
-    frontier = start.select("source", F.col("source").alias("at"), F.array("source").alias("path"), F.lit(0).cast("long").alias("rank"))
+    frontier = start.select("source", F.col("source").alias("at"), F.array("source").alias("path"))
     seen, flows = frontier.select("source", "at"), None
     for _ in range(most_nodes):
-        met = frontier.join(steps, frontier["at"] == steps["src"]).select("source", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"), "rank", "ends")
+        met = frontier.join(steps, frontier["at"] == steps["src"]).select("source", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"), "ends")
         fresh = met.join(seen, ["source", "at"], "left_anti")
-        ended = _least(fresh.where("ends").select("source", F.col("at").alias("sink"), "path"), per_source)
-        first = fresh.where("not ends").groupBy("source", "at").agg(F.min(F.struct("rank", "path")).alias("f"))
-        order = Window.partitionBy("source").orderBy("f.rank", "at")
-        opened = first.select("source", "at", "f.path", F.row_number().over(order).cast("long").alias("rank"))
-        round_ = opened.withColumn("ends", F.lit(False)).unionByName(ended.select("source", F.col("sink").alias("at"), "path", F.lit(0).cast("long").alias("rank"), F.lit(True).alias("ends"))).checkpoint()
+        ended = _least(fresh.where("ends").select("source", F.col("at").alias("sink"), "path"), per_source).select("source", F.col("sink").alias("at"), "path", F.lit(True).alias("ends"))
+        opened = fresh.where("not ends").groupBy("source", "at").agg(F.min("path").alias("path")).withColumn("ends", F.lit(False))
+        round_ = stored(opened.unionByName(ended))
         found = round_.where("ends").select("source", F.col("at").alias("sink"), "path")
         flows = found if flows is None else flows.unionByName(found)
         frontier = round_.where("not ends").drop("ends")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import redaction
 from sievework.functions.scalars import token_estimate
-from sievework.operators import budgets, business, code_graph, dependencies, flows, locate, reporting, rules, verdicts
+from sievework.operators import architecture, budgets, business, code_graph, dependencies, flows, locate, reporting, rules, verdicts
 from sievework.plans.registry import query
 from sievework.sources.tables import files, table
 from sievework.streaming import ledgers
@@ -526,14 +526,17 @@ def q_consistency_gate(spark, sf_dir):
     return reporting.contradictions(found, sections)
 
 
-@query("""WITH own AS (SELECT DISTINCT lower(regexp_extract(url, 'https?://([A-Za-z0-9.-]+)', 1)) AS host FROM pages), h AS (SELECT DISTINCT lower(unnest(regexp_extract_all(html, 'https?://([A-Za-z0-9.-]+)', 1))) AS host FROM pages)
-SELECT host FROM h WHERE host <> 'localhost' AND host NOT IN (SELECT host FROM own)""")
+@query("""WITH h AS (SELECT lower(regexp_extract(url, 'https?://([A-Za-z0-9.-]+)', 1)) AS host, contains(url, '/fr/') AS own FROM pages UNION ALL SELECT lower(unnest(regexp_extract_all(html, 'https?://([A-Za-z0-9.-]+)', 1))), false FROM pages),
+own AS (SELECT DISTINCT host FROM h WHERE own AND host <> '') SELECT DISTINCT host FROM h WHERE host NOT IN ('', 'localhost', '127.0.0.1', '0.0.0.0', '::1') AND host NOT IN (SELECT host FROM own) AND string_split(host, '.')[1] NOT IN (SELECT host FROM own)""")
 def q_third_party_hosts(spark, sf_dir):
+    """The workspace is what serves French pages; all other hosts that pages stand on or name are third parties."""
     pages = table(spark, sf_dir, "pages")
     pattern = F.lit("https?://([A-Za-z0-9.-]+)")
-    own = pages.select(F.lower(F.regexp_extract("url", "https?://([A-Za-z0-9.-]+)", 1)).alias("host")).distinct()
-    named = pages.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", pattern, 1), F.lower))).alias("host")).distinct()
-    return named.where("host <> 'localhost'").join(own, "host", "left_anti")
+    served = pages.select(F.lower(F.regexp_extract("url", "https?://([A-Za-z0-9.-]+)", 1)).alias("host"), "url")
+    named = pages.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", pattern, 1), F.lower))).alias("host"))
+    every = served.select("host").unionByName(named).where("host <> ''").distinct()
+    own = served.where(F.contains("url", F.lit("/fr/")) & (F.col("host") != "")).select(F.col("host").alias("name"))
+    return architecture.host_verdicts(every, own).where("verdict = 'external'").select("host")
 
 
 @query("""WITH e AS (SELECT l_orderkey AS id, s_nationkey AS repo, l_linestatus AS segment FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) SELECT id FROM e GROUP BY id HAVING count(DISTINCT repo) > 1 OR count(DISTINCT segment) > 1""")
