@@ -14,9 +14,12 @@ RULES = (
     ("hex-candidate", "CWE-321", 7.1, 0.5, "[0-9a-f]{40}"),
     ("license-line", "CWE-1104", 2.1, 0.4, "(Licensed|License|Copyright)"),
 )
-# File marks, and data categories by their signals.
-MARKS = (("network", "https?://"), ("credential", "(token|password|secret)"), ("table", "[|]"), ("legal", "(Licensed|License|Copyright)"), ("shouting", "!!"))
-CATEGORIES = (("contact", ("@", "phone", "email")), ("financial", ("card", "iban", "account")), ("identity", ("ssn", "passport", "birth")), ("location", ("street", "address", "192.")))
+# Data categories by their signals.
+CATEGORIES = (
+    ("personal-data", ("email", "firstname", "lastname", "full_name", "address", "phone", "birthdate", "date_of_birth", "ssn", "passport")),
+    ("financial-data", ("card_number", "credit_card", "iban", "account_number", "routing_number")),
+    ("health-data", ("patient", "diagnosis", "medical", "prescription", "health_record", "treatment", "lab_result", "phi")),
+)
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -31,20 +34,6 @@ def numbered(files: DataFrame) -> DataFrame:
     return files.select("path", F.array_join(F.transform(parts, lambda x, i: F.concat(F.lpad((i + 1).cast("string"), width, F.lit(" ")), F.lit("| "), x)), "\n").alias("numbered"))
 
 
-def annotations(files: DataFrame) -> DataFrame:
-    """path, marks: sorted names of the marks that a text bears, comma-joined; one projection, no join."""
-    found = F.array(*[F.when(F.col("text").rlike(pattern), name) for name, pattern in MARKS])
-    return files.select("path", F.array_join(F.array_sort(F.filter(found, lambda x: x.isNotNull())), ",").alias("marks"))
-
-
-def categories(files: DataFrame) -> DataFrame:
-    """path, category, signals: the data categories with a signal in the text, and how many of them."""
-    low = F.lower("text")
-    count = lambda signals: sum((F.contains(low, F.lit(s)).cast("int") for s in signals), F.lit(0))
-    rows = F.array(*[F.struct(F.lit(name).alias("category"), count(signals).cast("long").alias("signals")) for name, signals in CATEGORIES])
-    return files.select("path", F.inline(rows)).where("signals > 0")
-
-
 def rule_hits(lines: DataFrame) -> DataFrame:
     """repo, path, line_no, label, cwe, severity, confidence, matches: rules that match a line.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.scalars import identifier_shape, token_estimate
 from sievework.operators import findings as fo
-from sievework.operators import flows, joins, ranges, reporting, text, verdicts
+from sievework.operators import extract, flows, joins, ranges, reporting, text, verdicts
 from sievework.plans.registry import QUERIES, SQL, query
 from sievework.sources.tables import files, findings, table
 from sievework.streaming import windows
@@ -77,14 +77,30 @@ def q_lines_numbered(spark, sf_dir):
     return text.numbered(files(spark, sf_dir))
 
 
-@query("WITH m(name, p) AS (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in text.MARKS) + ") SELECT doc_id AS path, coalesce(string_agg(name, ',' ORDER BY name) FILTER (regexp_matches(text, p)), '') AS marks FROM documents, m GROUP BY doc_id")
+def _re2(pattern: str) -> str:
+    """A pattern for an engine without lookaround: what stands beside a word is matched with it."""
+    return pattern.replace("(?<![A-Za-z])", "(?:^|[^A-Za-z])").replace("(?![A-Za-z])", "(?:[^A-Za-z]|$)").replace("'", "''")
+
+
+def _says(pattern: str) -> str:
+    return f"regexp_matches(text, '{_re2(pattern)}')"
+
+
+_ROUTED = " OR ".join(_says(p) for p, *_ in extract.ROUTES)
+_HOSTS = "list_filter(regexp_extract_all(text, '(?i)https?://([a-z0-9.-]+)', 1), lambda h: NOT starts_with(lower(h), 'localhost') AND NOT starts_with(h, '127.0.0.1'))"
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS path, concat_ws(',', CASE WHEN {_says(extract.AUTHENTICATION)} THEN 'authentication_required' END, CASE WHEN {_says(extract.AUTHORIZATION)} THEN 'authorization_required' END, CASE WHEN len({_HOSTS}) > 0 THEN 'external_system' END,
+  CASE WHEN {_says(extract.EXECUTE)} OR {_says(extract.SINK)} THEN 'security_sink' END, CASE WHEN {_says(extract.SENSITIVE)} THEN 'sensitive_data' END, CASE WHEN {_ROUTED} THEN 'trust_boundary' END, CASE WHEN {_says(extract.USER_INPUT)} OR {_ROUTED} THEN 'user_controlled_input' END) AS marks FROM documents""")
 def q_file_annotations(spark, sf_dir):
-    return text.annotations(files(spark, sf_dir))
+    rows = files(spark, sf_dir).withColumn("path", F.col("path").cast("string"))
+    return extract.file_annotations(rows).select("path", F.array_join("annotations", ",").alias("marks"))
 
 
-@query("WITH c(category, signal) AS (VALUES " + ", ".join(f"('{n}', '{s}')" for n, ss in text.CATEGORIES for s in ss) + ") SELECT doc_id AS path, category, count(*) AS signals FROM documents, c WHERE contains(lower(text), signal) GROUP BY ALL")
+@query("WITH c(category, signal) AS (VALUES " + ", ".join(f"('{n}', '{s}')" for n, ss in text.CATEGORIES for s in ss) + ") SELECT doc_id AS path, coalesce(string_agg(DISTINCT category, ',' ORDER BY category), '') AS categories FROM documents LEFT JOIN c ON contains(lower(text), signal) GROUP BY doc_id")
 def q_data_categories(spark, sf_dir):
-    return text.categories(files(spark, sf_dir))
+    signals = spark.createDataFrame([(n, s) for n, ss in text.CATEGORIES for s in ss], "category string, signal string")
+    return extract.data_categories(files(spark, sf_dir), signals).select("path", F.array_join("categories", ",").alias("categories"))
 
 
 @query("SELECT source AS repo, count(*) AS files, CAST(sum(CASE WHEN len(text) = 0 THEN 0 ELSE floor(len(text) / 3.5) + 1 END) AS BIGINT) AS tokens FROM documents GROUP BY source")
