@@ -15,7 +15,7 @@ from sievework.llm.common import Scratch, crc_of_id, joined, slices, squeeze, un
 from sievework.llm.hashing import END, chained, hash_words
 
 #: Bytes of text in a home, the unit of work; and of text for each part of the n-gram keys.
-HOME_BYTES, PART_BYTES = 12 << 20, 16 << 20
+HOME_BYTES, PART_BYTES = 10 << 20, 16 << 20
 HELD_OUT, DELETED, TRAINING = 2, 1, 0
 #: The contexts' frequencies are told apart by powers of two up to this one.
 MOST_BUCKETS = 40
