@@ -18,7 +18,7 @@ FLOW_CATEGORIES = ("flow-gap", "regulatory-violation")
 DEFAULT_CONFIDENCE, MOST_CONTROLS = 0.5, 12
 CONTROL_MARKS = ("authentication_required", "authorization_required", "boundary_labeled", "security_sink", "trust_boundary", "unattached_security_guard")
 # Harmless probes by weakness, and the classes that need none.
-CANARY = "SECSCAN-CANARY-1"
+CANARY = "SIEVEWORK-CANARY-1"
 PROBES = {
     "CWE-89": f"' OR '{CANARY}'='{CANARY}", "CWE-78": f"; echo {CANARY}", "CWE-77": f"; echo {CANARY}", "CWE-79": f'<span data-canary="{CANARY}">{CANARY}</span>', "CWE-22": f"../{CANARY}",
     "CWE-918": f"http://127.0.0.1:9/{CANARY}", "CWE-502": f"canary-marker:{CANARY}", "CWE-639": f"{CANARY}-other-tenant-id",

@@ -33,7 +33,7 @@ def test_bands_and_scores(spark):
 def test_texts(spark):
     assert each(spark, sc.token_estimate, ["", "abcd", "a"]) == [0, 2, 1]
     assert [round(x, 6) for x in each(spark, sc.entropy, ["abcd", "aaaa", "", "aabb"])] == [2.0, 0.0, 0.0, 1.0]
-    shapes = {"dist/angular2-hn-production-build": "filesystem-path", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": None, "platform-browser-dynamic": "kebab-case", "some_snake_name": "snake_case", "BrowserDynamicTestingModule": "PascalCase", "unSubscribeToSystemPrefferedColorScheme": "camelCase", "com.example.App": "module-path", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY": None, "plain": None, "lib/v4/T": "filesystem-path"}
+    shapes = {"dist/web-app-production-build": "filesystem-path", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": None, "platform-browser-dynamic": "kebab-case", "some_snake_name": "snake_case", "BrowserDynamicTestingModule": "PascalCase", "unSubscribeToSystemPrefferedColorScheme": "camelCase", "com.example.App": "module-path", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY": None, "plain": None, "lib/v4/T": "filesystem-path"}
     assert dict(zip(shapes, each(spark, sc.identifier_shape, list(shapes)), strict=True)) == shapes
     assert {v: rd.shape_of(v) for v in shapes} == shapes
     assert one(spark, sc.line_of_offset(F.lit("a\nb\nc"), F.lit(0)), sc.line_of_offset(F.lit("a\nb\nc"), F.lit(4))) == (1, 3)

@@ -141,6 +141,6 @@ def test_controls_and_reproductions(spark):
     assert [r["file"] for r in got.where("id = 2").orderBy("rank").collect()] == ["auth.py", "GET /p"]
     seen = make(spark, "id int, cwe string, status string, route string, fixed_prefix boolean, path array<string>", (1, "CWE-89", "verified", "GET|POST /o/{id}", False, ["a", "b"]), (2, "CWE-918", "plausible", None, True, []), (3, "CWE-862", None, "GET /o/<int:id>", None, None), (4, "CWE-798", None, None, None, None))
     out = {r["id"]: r for r in model_output.reproductions(seen).collect()}
-    assert (out[1]["mode"], out[1]["trail"]) == ("observed", ["a", "b"]) and out[1]["trigger"].startswith("send: GET /o/%27%20OR%20%27SECSCAN")
+    assert (out[1]["mode"], out[1]["trail"]) == ("observed", ["a", "b"]) and out[1]["trigger"].startswith("send: GET /o/%27%20OR%20%27SIEVEWORK")
     assert out[2]["trigger"] is None and "fixed prefix" in out[2]["trigger_reason"] and out[2]["trail"] is None and out[2]["mode"] == "hypothesis"
-    assert out[3]["trigger"].endswith("GET /o/SECSCAN-CANARY-1") and "checkout" in out[4]["trigger"]
+    assert out[3]["trigger"].endswith("GET /o/SIEVEWORK-CANARY-1") and "checkout" in out[4]["trigger"]
