@@ -17,6 +17,8 @@ INTERESTING = ("user_controlled_input", "security_sink", "trust_boundary", "sens
 TESTISH = r"(?:__tests__|/tests?/|\.test\.|\.spec\.|_test\.)"
 UNATTACHED = "unattached_security_guard"
 EDGE = ("src", "dst", "type", "cross_repo", "resolution")
+# Callers and symbols of one name that meet in one cell, on each side.
+CELL = 2048
 
 
 def _edges(df: DataFrame, src: str, dst: str, kind: str, cross=None, resolution: str | None = None) -> DataFrame:
@@ -59,13 +61,33 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges `calls` by name: the last part of the callee is a symbol of any repository.
 
     calls: repo, path, caller, callee; symbols: repo, path, name, id. A caller that is no symbol gives way to its file; a
-    node does not call itself. Calls are made distinct before the join, so a common name fans out once per caller.
+    node does not call itself. Edges are as many as calls times symbols of a name, so they are distinct as they are made
+    and never exchanged: what may repeat one (repositories of a caller, symbols that share an id) is folded before.
+    Callers and symbols of a name meet in cells of about CELL by CELL, so a common name is many tasks.
     """
+    from sievework.operators.flows import stored  # flows needs the marks above
+
     callers = symbols.select("repo", "path", F.col("name").alias("caller"), F.col("id").alias("__caller")).distinct()
     wanted = calls.select("repo", "path", "caller", F.element_at(F.split("callee", "[.]"), -1).alias("name")).distinct().join(callers, ["repo", "path", "caller"], "left")
-    wanted = wanted.select(F.coalesce("__caller", node_id(F.col("repo"), F.col("path"))).alias("src"), F.col("repo").alias("__repo"), "name").distinct()
-    met = wanted.join(symbols.select("name", F.col("repo").alias("__of"), F.col("id").alias("dst")).distinct(), "name").where("src <> dst")
-    return _edges(met, "src", "dst", "calls", F.col("__repo") != F.col("__of"), "name-based")
+    wanted = wanted.select(F.coalesce("__caller", node_id(F.col("repo"), F.col("path"))).alias("src"), F.struct(F.col("repo").alias("of")).alias("__repo"), "name")
+    asked = stored(wanted.groupBy("name", "src").agg(F.collect_set("__repo").alias("__repos")))
+    places = stored(symbols.where("name is not null").groupBy(F.col("id").alias("dst")).agg(F.collect_set(F.struct("name", F.col("repo").alias("of"))).alias("__places")))
+    made = _meet(asked, places.where(F.size("__places") == 1).select("dst", F.col("__places")[0]["name"].alias("name"), F.col("__places")[0]["of"].alias("__of")))
+    shared = places.where(F.size("__places") > 1).select("dst", F.inline("__places")).withColumnRenamed("of", "__of")
+    met = made.unionByName(_meet(asked, shared).distinct())
+    return met.select("src", "dst", F.lit("calls").alias("type"), "cross_repo", F.lit("name-based").alias("resolution"))
+
+
+def _meet(asked: DataFrame, targets: DataFrame) -> DataFrame:
+    """src, dst, cross_repo of callers (name, src, __repos) and symbols (name, dst, __of) of one name."""
+    count = lambda df, c: df.groupBy("name").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(c))
+    grid = count(asked, "__a").join(count(targets, "__b"), "name")
+    cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(grid, "name").select("name", "src", "__repos", F.pmod(F.xxhash64("src"), F.col("__a")).cast("int").alias("__i"), cells("__b").alias("__j"))
+    right = targets.join(grid, "name").select("name", "dst", "__of", F.pmod(F.xxhash64("dst"), F.col("__b")).cast("int").alias("__j"), cells("__a").alias("__i"))
+    met = left.join(right, ["name", "__i", "__j"]).where("src <> dst")
+    crossed = F.array_distinct(F.transform("__repos", lambda r: r["of"] != F.col("__of")))
+    return met.select("src", "dst", F.explode(crossed).alias("cross_repo"))
 
 
 def resolve_wiring(wiring: DataFrame, symbols: DataFrame, endpoints: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -97,6 +97,18 @@ def test_calls_wiring_and_templates(spark):
     assert rows(code_graph.bind_templates(make(spark, "repo string, sink string, name string", ("a", "t", "MAIN"), ("b", "t", "Main")), symbols), "src", "dst", "type") == [("a:x.py#main", "t", "renders")]
 
 
+def test_calls_of_common_names_make_distinct_edges_without_an_exchange(spark, monkeypatch):
+    monkeypatch.setattr(code_graph, "CELL", 3)
+    symbols = make(spark, SYMBOLS, *[("a", f"x{i}.py", "run", f"a:x{i}.py#run") for i in range(11)], ("b", "y.py", "run", "shared"), ("b", "y.py", "go", "shared"), ("a", "y.py", "go", "shared"), (None, "n.py", "run", "n"))
+    calls = make(spark, "repo string, path string, caller string, callee string", *[("a", f"z{i}.py", "gone", f"s.{c}") for i in range(10) for c in ("run", "go")], ("a:b", "c", "gone", "run"), ("a", "b:c", "gone", "run"), ("a", None, "gone", "run"))
+    seen = {(r["repo"], r["path"], r["callee"].split(".")[-1]) for r in calls.collect() if r["path"]}
+    want = {(f"{repo}:{path}", s["id"], None if s["repo"] is None else repo != s["repo"]) for repo, path, name in seen for s in symbols.collect() if s["name"] == name}
+    got = code_graph.resolve_calls(calls, symbols)
+    assert rows(got, "src", "dst", "cross_repo") == sorted(want, key=repr)
+    above = code_graph.resolve_calls(calls, symbols.where("id like 'a:%'"))._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+    assert above.count("Aggregate") == 0
+
+
 def test_nodes_guards_and_access(spark):
     seen = make(spark, "id string, seq int, type string, annotations array<string>", ("n", 2, "late", ["b"]), ("n", 1, "first", ["a"]), ("m", 1, "only", None))
     assert rows(code_graph.upsert_nodes(seen)) == [("m", "only", []), ("n", "first", ["a", "b"])]
