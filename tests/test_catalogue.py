@@ -40,6 +40,10 @@ def test_dedupe_deals_its_rows_once(spark):
     assert exchanges(spark, "q_dedupe_location") == 1
 
 
+def test_correlation_deals_its_rows_once(spark):
+    assert exchanges(spark, "q_correlate_root_cause") == 1
+
+
 def test_entry(spark):
     import __spark_entry__
 
