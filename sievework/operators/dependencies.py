@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievework.functions.scalars import in_range, is_test_part, support_ended, version_digits, version_key
 
@@ -78,13 +79,34 @@ def merge_external(native: DataFrame, external: DataFrame) -> tuple[DataFrame, D
     Both: id, seq (order), ecosystem, package, range, advisory_ids, sources. An external finding goes into the first native
     one of its package that shares an advisory or has the same range; others, and those without a package, stay.
     """
-    mine = native.select(F.col("id").alias("native_id"), F.col("seq").alias("__seq"), "ecosystem", "package", F.col("range").alias("__range"), F.col("advisory_ids").alias("__ids"))
-    met = external.where("package is not null and ecosystem is not null").select("id", "ecosystem", "package", "range", "advisory_ids", "sources").join(mine, ["ecosystem", "package"])
-    same = F.coalesce(F.arrays_overlap("__ids", "advisory_ids"), F.lit(False)) | ((F.coalesce("__range", F.lit("")) != "") & (F.col("__range") == F.col("range")))
-    first = met.where(same).groupBy("id").agg(F.min_by(F.struct("native_id", "sources"), F.col("__seq")).alias("m"))
-    absorbed = first.groupBy(F.col("m.native_id").alias("native_id")).agg(F.flatten(F.collect_list("m.sources")).alias("__more"))
-    merged = native.join(absorbed, native["id"] == absorbed["native_id"], "left").withColumn("sources", F.when(F.col("__more").isNotNull(), F.array_sort(F.array_union("sources", "__more"))).otherwise(F.col("sources")))
-    return merged.select(*native.columns), external.join(first.select("id"), "id", "left_anti").select(*external.columns)
+    every = native.withColumn("__native", F.lit(True)).unionByName(external.withColumn("__native", F.lit(False)), allowMissingColumns=True)
+    out = absorbed(every, "__native")
+    return out.where("__native").select(*native.columns), out.where("not __native").select(*external.columns)
+
+
+def absorbed(findings: DataFrame, native: str = "native") -> DataFrame:
+    """findings, native and external ones as `merge_external` has them, without the external ones that a native one absorbs.
+
+    A shared advisory or range is a mark, and the first native finding of a package's mark is the one that all external
+    ones with it may go into: no external finding meets every native one of its package. Rows that lie by package (and
+    ecosystem) are not dealt again.
+    """
+    place = ["ecosystem", "package"]
+    none = F.array().cast("array<string>")
+    marks = F.concat(F.transform(F.coalesce("advisory_ids", none), lambda a: F.concat(F.lit("id "), a)), F.when(F.coalesce("range", F.lit("")) != "", F.array(F.concat(F.lit("range "), "range"))).otherwise(none))
+    marks = F.when(F.col("package").isNotNull() & F.col("ecosystem").isNotNull(), F.filter(F.array_distinct(marks), lambda m: m.isNotNull()))
+    pieces = findings.select(*place, F.col(native).alias("__own"), "id", "seq", F.struct(*findings.columns).alias("__row"), F.posexplode_outer(marks).alias("__i", "__mark"))
+    first = F.min(F.when(F.col("__own") & F.col("__mark").isNotNull(), F.struct("seq", "id"))).over(Window.partitionBy(*place, "__mark"))
+    pieces = pieces.withColumn("__row", F.when(F.coalesce("__i", F.lit(0)) == 0, F.col("__row"))).withColumn("__first", F.when(~F.col("__own"), first)).drop("__i", "seq")
+    found = pieces.groupBy(*place, "__own", "id").agg(F.collect_list("__row").alias("__rows"), F.min("__first")["id"].alias("__to"))
+    gone = F.col("__to").isNotNull()
+    more = F.when(gone, F.flatten(F.filter(F.transform("__rows", lambda r: r["sources"]), lambda x: x.isNotNull())))
+    grouped = found.groupBy(*place, (F.col("__own") | gone).alias("__kept"), F.coalesce("__to", "id").alias("__at")).agg(
+        F.flatten(F.collect_list(F.when(~gone, F.col("__rows")))).alias("__rows"), F.flatten(F.collect_set(more)).alias("__more")
+    )
+    rows = grouped.select(F.explode("__rows").alias("__r"), "__more")
+    sources = F.when(F.size("__more") > 0, F.array_sort(F.array_union("__r.sources", "__more"))).otherwise(F.col("__r.sources"))
+    return rows.select(*[sources.alias(c) if c == "sources" else F.col(f"__r.`{c}`").alias(c) for c in findings.columns])
 
 
 def covered_domains(external: DataFrame, scanners: DataFrame) -> DataFrame:

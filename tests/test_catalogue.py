@@ -44,6 +44,10 @@ def test_correlation_deals_its_rows_once(spark):
     assert exchanges(spark, "q_correlate_root_cause") == 1
 
 
+def test_external_merge_deals_its_rows_once(spark):
+    assert exchanges(spark, "q_external_merge") == 1
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -263,6 +263,15 @@ def test_merge_and_groups(spark):
     assert dependencies.distinct_advisories(advisories.unionByName(advisories)).count() == 2
 
 
+def test_merge_goes_into_the_first_native_of_a_mark(spark):
+    schema = "id string, seq int, ecosystem string, package string, range string, advisory_ids array<string>, sources array<string>"
+    native = make(spark, schema, ("N1", 2, "npm", "a", "<2", ["X", None], ["audit"]), ("N2", 1, "npm", "a", "<2", ["Y"], ["audit"]), ("N3", 0, None, "a", "<2", ["X"], ["audit"]), ("N4", 0, "npm", None, "<2", ["X"], ["audit"]), ("N5", 9, "npm", "b", None, None, ["audit"]))
+    external = make(spark, schema, ("E1", 1, "npm", "a", "<2", ["X"], ["osv"]), ("E2", 1, "npm", "a", "<3", ["X", "X"], ["trivy", "osv"]), ("E3", 1, "npm", "a", None, [None], ["osv"]), ("E4", 1, None, "a", "<2", ["X"], ["osv"]), ("E5", 1, "npm", "b", "", [], None), ("E6", 1, "npm", "a", "X", ["<2"], ["osv"]), ("E7", 1, "npm", "a", "", ["X"], None))
+    merged, rest = dependencies.merge_external(native, external)
+    assert rows(merged, "id", "sources") == [("N1", ["audit", "osv", "trivy"]), ("N2", ["audit", "osv"]), ("N3", ["audit"]), ("N4", ["audit"]), ("N5", ["audit"])]
+    assert rows(rest, "id") == [("E3",), ("E4",), ("E5",), ("E6",)] and merged.columns == rest.columns == native.columns
+
+
 def test_versions_and_cycles(spark):
     components = make(spark, "ecosystem string, package string, version string", ("npm", "a", "1.2.10"), ("npm", "a", "1.10.0"), ("npm", "b", "2.0.0-rc1"))
     advisories = make(spark, "ecosystem string, package string, introduced string, fixed string", ("npm", "a", "1.2.9", "1.10.0"), ("npm", "b", "", "2.0.0"), ("npm", "b", "1", None))
