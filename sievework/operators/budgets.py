@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from sievework.operators import ranges
+from sievework.operators.flows import stored
+
 # The usable share of a budget, entry points that a part lists, and the sizes of an excerpt.
 USABLE, MOST_ENTRIES = 0.7, 40
 CONTEXT_LINES, MOST_LINES, MOST_LENGTH = 3, 40, 200
 HEADER_LINES = 12
+# Requests of a model that one task looks at.
+BLOCK = 16_384
 
 
 def greedy_groups(sizes: Column, limit: Column, most: Column | None = None) -> Column:
@@ -53,12 +59,68 @@ def listed_entries(entries: Column, segment: Column) -> Column:
 def batch_chunks(requests: DataFrame, most_items: int, most_bytes: int) -> DataFrame:
     """requests (model, seq, size, ...) with `chunk`, from 0 within a model: greedy, in order, no request is dropped.
 
-    A model's requests become one array of numbers, not of texts.
+    Where a chunk ends follows from where it starts. So requests go in blocks of BLOCK, and each block, with the next few
+    rows, says for each of the most_items places where its first chunk may start how many start in it, and where the first
+    of the next block does. These tables, one a block, are followed in order by a task a model; then each block numbers its
+    rows. No task holds a model, and no step is a square of its requests. A null size leaves its chunk without a limit of
+    bytes, as a sum with it has no value.
     """
-    arrays = requests.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("seq", "size"))).alias("r"))
-    chunks = arrays.withColumn("c", greedy_groups(F.transform("r", lambda x: x["size"]), F.lit(most_bytes), F.lit(most_items)))
-    numbered = chunks.select("model", F.inline(F.arrays_zip("r", "c"))).select("model", F.col("r.seq").alias("seq"), F.col("c").alias("chunk"))
-    return requests.join(numbered, ["model", "seq"]).select(*requests.columns, "chunk")
+    block = max(BLOCK, most_items)
+    ranked = ranges.ranked(requests.withColumn("__model", F.to_json(F.struct("model"))), ["__model"], [F.asc_nulls_last("seq")], "__rank")
+    at = F.col("__rank") - 1
+    rows = stored(ranked.withColumns({"__block": F.floor(at / block), "__at": (at % block).cast("int")}).drop("__rank"))
+    sizes = rows.select("__model", "__block", "__at", F.col("size").cast("long").alias("__size"))
+    ahead = sizes.where((F.col("__block") > 0) & (F.col("__at") < most_items - 1)).withColumns({"__block": F.col("__block") - 1, "__at": F.col("__at") + block})
+
+    def arrow(**columns):
+        import pyarrow as pa
+
+        return pa.table(columns)
+
+    def nexts(t) -> list[int]:
+        """For a block's rows, by __at, where the chunk that starts at each is followed by the next."""
+        import numpy as np
+
+        size = t.sort_by("__at")["__size"].combine_chunks()
+        n, place = len(size), np.arange(len(size))
+        total = np.concatenate([[0], np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False))])
+        null = np.where(np.asarray(size.is_null()), place, n + most_items)
+        null = np.minimum.accumulate(null[::-1])[::-1]  # the first null from each row on
+        full = np.maximum(np.searchsorted(total, total[:-1] + most_bytes, side="right") - 1, place + 1)
+        return np.minimum(np.where((full >= null) | (full >= n), place + most_items, full), place + most_items).tolist()
+
+    # The functions stay in here: a worker gets them whole, without this package.
+    def ways(t):
+        after, last = nexts(t), min(block, t.num_rows)
+        count, end = [0] * last + [0] * (most_items + 1), [0] * last + list(range(most_items + 1))
+        for i in range(last - 1, -1, -1):
+            to = min(after[i], last + most_items)
+            count[i], end[i] = count[to] + 1, end[to]
+        return arrow(__model=t["__model"][:1], __block=t["__block"][:1], starts=[count[:most_items]], ends=[end[:most_items]])
+
+    def followed(t):
+        t, entry, before, entries, befores = t.sort_by("__block"), 0, 0, [], []
+        for starts, ends in zip(t["starts"], t["ends"]):
+            entries.append(entry)
+            befores.append(before)
+            before, entry = before + starts[entry].as_py(), ends[entry].as_py()
+        return arrow(__model=t["__model"], __block=t["__block"], __entry=entries, __before=befores)
+
+    def numbered(t):
+        import numpy as np
+
+        t = t.sort_by("__at")
+        i, chunk, after = t["__entry"][0].as_py(), np.zeros(t.num_rows, "int64"), nexts(t)
+        while i < t.num_rows:
+            chunk[i] = 1
+            i = after[i]
+        return t.select(names).append_column("chunk", arrow(c=np.cumsum(chunk) + (t["__before"][0].as_py() - 1))["c"].cast("int32"))
+
+    names = requests.columns
+    tables = sizes.unionByName(ahead).groupBy("__model", "__block").applyInArrow(ways, "__model string, __block long, starts array<long>, ends array<long>")
+    entered = tables.groupBy("__model").applyInArrow(followed, "__model string, __block long, __entry long, __before long")
+    sized = rows.withColumn("__size", F.col("size").cast("long")).join(entered, ["__model", "__block"])
+    return sized.groupBy("__model", "__block").applyInArrow(numbered, StructType([*requests.schema.fields, StructField("chunk", IntegerType())]))
 
 
 def fitting(rows: DataFrame, keys: list[str], size: str, order: list, budget: Column | int) -> DataFrame:

@@ -315,6 +315,33 @@ def test_greedy(spark):
     assert rows(kept) == [("a", 3), ("a", 5)]
 
 
+def test_chunks_of_a_long_model(spark, monkeypatch):
+    def greedy(sizes, most, limit):
+        out, chunk, n, held = [], 0, 0, 0
+        for size in sizes:
+            if n and (n >= most or (held is not None and size is not None and held + size > limit)):
+                chunk, n, held = chunk + 1, 0, 0
+            n, held = n + 1, None if held is None or size is None else held + size
+            out.append(chunk)
+        return out
+
+    plain = lambda df: sorted((r["model"], r["seq"], r["chunk"]) for r in df.where("model is not null").collect())
+    for block in (1, 7, 64):
+        monkeypatch.setattr(budgets, "BLOCK", block)
+        for most, limit in ((5, 40), (25, 100), (1, 9)):
+            sizes = {m: [None if i * k % 37 == 5 else 0 if i * k % 11 == 3 else i * i * k % 53 for i in range(n)] for m, n, k in (("a", 150, 7), ("b", 1, 3), ("c", 71, 5), ("", 14, 1))}
+            data = [(m, i * 3, x, "t") for m, xs in sizes.items() for i, x in enumerate(xs)]
+            got = budgets.batch_chunks(make(spark, "model string, seq long, size int, text string", *data, (None, 1, 5, "t"), (None, 2, 5, "t")), most, limit)
+            assert plain(got) == sorted((m, i * 3, c) for m, xs in sizes.items() for i, c in enumerate(greedy(xs, most, limit)))
+            assert got.columns == ["model", "seq", "size", "text", "chunk"] and got.where("model is null").count() == 2
+    many = spark.range(300_000).select(F.lit("m").alias("model"), F.col("id").alias("seq"), (F.col("id") % 900).alias("size"))
+    monkeypatch.undo()
+    got = budgets.batch_chunks(many, 25, 12_000)
+    assert got.agg(F.max("chunk")).first()[0] == greedy([i % 900 for i in range(300_000)], 25, 12_000)[-1]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapGroupsInArrow" in plan
+
+
 def test_excerpts(spark):
     text_ = "\n".join(f"line {i}" for i in range(1, 101))
     files = make(spark, "repo string, path string, text string", ("r", "a", text_), ("r", "empty", ""), ("r", "long", "x" * 300))
