@@ -40,13 +40,18 @@ def fold_duplicates(findings: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in findings.columns if c not in keys]
     row = F.col("__row")
     order = F.struct((-row["confidence"]).alias("c"), row["seq"], row["id"])
-    items = findings.select(*keys, F.struct(*rest).alias("__row"), F.posexplode_outer("evidence").alias("__i", "__e"))
+    # One sort serves both steps, and their aggregates stream over it. Hash aggregates that collect would sort anew in each
+    # of their four phases; a key whose type compares by a collation, here of a text that is always empty, rules them out.
+    hashed = F.xxhash64(*keys)
+    streamed = F.collate(F.substring(hashed.cast("string"), 1, 0), "UTF8_LCASE")
+    groups = ["__h", "__z", *keys]
+    items = findings.select(hashed.alias("__h"), streamed.alias("__z"), *keys, F.struct(*rest).alias("__row"), F.posexplode_outer("evidence").alias("__i", "__e"))
     # One row for each piece of evidence: the first says for its finding that it is there.
     first = F.when(F.coalesce("__i", F.lit(0)) == 0, row["id"])
-    pieces = items.groupBy(*keys, F.col("__e.file").alias("__f"), F.col("__e.reason").alias("__r")).agg(
+    pieces = items.groupBy(*groups, F.col("__e.file").alias("__f"), F.col("__e.reason").alias("__r")).agg(
         F.min_by("__row", order).alias("__row"), F.collect_list(first).alias("__ids"), F.min(F.when(F.col("__i").isNotNull(), F.struct(row["seq"], "__i", "__e"))).alias("__m")
     )
-    folded = pieces.groupBy(*keys).agg(F.min_by("__row", order).alias("__w"), F.flatten(F.collect_list("__ids")).alias("__ids"), F.array_sort(F.collect_list("__m")).alias("__all"))
+    folded = pieces.groupBy(*groups).agg(F.min_by("__row", order).alias("__w"), F.flatten(F.collect_list("__ids")).alias("__ids"), F.array_sort(F.collect_list("__m")).alias("__all"))
     same = lambda a, b: a["file"].eqNullSafe(b["file"]) & a["reason"].eqNullSafe(b["reason"])
     own = F.col("__w.evidence")
     others = F.transform(F.filter("__all", lambda m: ~F.coalesce(F.exists(own, lambda e: same(e, m["__e"])), F.lit(False))), lambda m: m["__e"])
